@@ -1,0 +1,37 @@
+"""The registered queries of the library and DuckDB SQL for the same results."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Register a query, with its SQL where SQL can express it."""
+
+    def done(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return done
+
+
+@register(
+    "a1_topic_stats",
+    """
+    with m as (select '/events/' || event_type as topic, epoch_us(ts) * 1000 as log_time from events)
+    select topic, count(*)::bigint as n_messages, min(log_time)::bigint as first_time, max(log_time)::bigint as last_time
+    from m group by topic
+    """,
+)
+def topic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    messages = events.select(F.concat(F.lit("/events/"), "event_type").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("log_time"))
+    return messages.groupBy("topic").agg(F.count("*").alias("n_messages"), F.min("log_time").alias("first_time"), F.max("log_time").alias("last_time"))
