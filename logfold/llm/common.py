@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the word rules of this package see it (a regular expression class).
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,5 +57,23 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash that names a row by its id and text, the same in every pass over the input."""
+    return F.xxhash64(doc_id, text)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, row) names."""
+    away = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    own = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
+    return own.join(away, (own["__key"] == away["__row"]) & own[id_col].eqNullSafe(away["__id"]), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    """The columns of ``df`` and those of a DDL string, all of them nullable."""
+    fields = [*df.schema.fields, *T.StructType.fromDDL(more).fields]
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, cut, lower_ascii
+from .common import NOT_WORD, cut, lower_ascii, row_key, without
 
 #: Sides of at most so many rows (of a few longs each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
@@ -45,10 +45,10 @@ def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``term_id, rid, pos`` of ``terms`` (term, term_id); for each row one more with term_id -1, its word count as pos, and doc_id."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), words(F.col(text_col)).alias("w"))
+    """Postings ``term_id, rid, pos`` of ``terms`` (term, term_id); for each row one more with term_id -1, its word count as pos, doc_id, and row (a hash of id and text)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.monotonically_increasing_id().alias("rid"), words(F.col(text_col)).alias("w"))
     # The word count goes in front as an entry of its own, in a form that no word has.
-    entries = rows.select("doc_id", "rid", F.posexplode(F.concat(F.array(F.concat(F.lit(" "), F.size("w"))), "w")).alias("at", "term"))
+    entries = rows.select("doc_id", "row", "rid", F.posexplode(F.concat(F.array(F.concat(F.lit(" "), F.size("w"))), "w")).alias("at", "term"))
     known = terms.select("term", "term_id")
     found = entries.join(known, "term", "left")
     head = F.col("at") == 0
@@ -59,18 +59,19 @@ def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: s
             "rid",
             F.when(head, F.substring("term", 2, 20).cast("int")).otherwise(F.col("at") - 1).alias("pos"),
             F.when(head, F.col("doc_id")).alias("doc_id"),
+            F.when(head, F.col("row")).alias("row"),
         ),
         "postings",
     )
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"):
-    """``(rows, found, of)``: ``rid, doc_id, n_words`` of every row; ``rid, win, start, n, kind`` of every match; ``win, item_id``."""
+    """``(rows, found, of)``: ``rid, doc_id, row, n_words`` of every row; ``rid, win, start, n, kind`` of every match; ``win, item_id``."""
     wins, of = windows(items, size, item_col, item_text)
     terms = wins.select(F.explode("words").alias("term")).distinct()
     terms = cut(terms.withColumn("term_id", F.monotonically_increasing_id()), "terms")
     postings = index(docs, _small(terms), id_col, text_col)
-    lists = postings.where("term_id >= 0").drop("doc_id")
+    lists = postings.where("term_id >= 0").drop("doc_id", "row")
     often = lists.groupBy("term_id").count()
     places = wins.select("win", "n", F.posexplode("words").alias("off", "term")).join(terms, "term").join(often, "term_id", "left")
     # The terms of each window, the rarest first; a term without postings rules its window out.
@@ -98,15 +99,21 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
         hits = probes.withColumn("pos", F.col("want")).join(inside, ["rid", "term_id", "pos"]).withColumn("exact", F.lit(True))
     whole = hits.groupBy("rid", "win", "start", "n").agg(F.count("*").alias("got"), F.min("exact").alias("all_exact")).where("got = n")
     found = cut(whole.select("rid", "win", "start", "n", F.when(F.col("all_exact"), "phrase").otherwise("near").alias("kind")), "matches")
-    return postings.where("term_id = -1").select("rid", "doc_id", F.col("pos").alias("n_words")), found, of
+    return postings.where("term_id = -1").select("rid", "doc_id", "row", F.col("pos").alias("n_words")), found, of
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids`` (sorted as strings, with commas) from its phrase matches."""
+    """Per row of ``docs``: ``doc_id, row, n_words, n_hit, n_items, item_ids`` (sorted as strings, with commas) from its phrase matches."""
     rows, found, of = matches(docs, items, size, 0, id_col, text_col, item_col, item_text)
     hit = found.select("rid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct()
     hit = hit.groupBy("rid").agg(F.count("*").alias("n_hit"))
     which = found.select("rid", "win").distinct().join(of, "win").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
     which = which.groupBy("rid").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("item_ids"))
     out = rows.join(hit.join(which, "rid", "left"), "rid", "left")
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
+    return out.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window of an item."""
+    found = contamination(docs, items, size, id_col, text_col, item_col, item_text)
+    return without(docs, found.where("n_hit > 0"), id_col, text_col)

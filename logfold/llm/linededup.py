@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 
 _LINES = "split(coalesce({text}, ''), '\\n')"
 _BLANK = "rlike({x}, '^[\\\\x20\\\\x09-\\\\x0D]*$')"
@@ -47,7 +47,7 @@ def deleted_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = _LINES.format(text="text")
     each = F.inline(F.expr(_WINDOWS.format(lines=lines, blank=_BLANK.format(x="x"), t=min_bytes)))
-    rows = cut(named.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), each), "windows")
+    rows = cut(named.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rid"), each), "windows")
     spread = rows.groupBy("fp").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("at").alias("c"), F.max("at").alias("d"))
     shared = spread.where("a <> b or c <> d").select("fp")
     met = cut(rows.join(shared, "fp", "left_semi").select("doc_id", "rid", "lo", "c", "key", "chk"), "matches")
@@ -60,7 +60,7 @@ def deleted_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
 def dedup_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs deleted from its text, and two more columns: n_lines (worded) and n_deleted."""
     gone = cut(deleted_lines(docs, min_bytes, id_col, text_col), "deleted").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("gone").alias("__gone"))
-    own = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    own = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
     both = own.join(gone, (own["__key"] == gone["__rid"]) & own[id_col].eqNullSafe(gone["__id"]), "left")
     lines = _LINES.format(text=f"`{text_col}`")
     worded = F.expr(f"transform(filter(transform({lines}, (x, i) -> named_struct('i', i, 'b', {_BLANK.format(x='x')})), e -> not e.b), e -> e.i)")

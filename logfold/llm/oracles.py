@@ -89,3 +89,28 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and coalesce(lang not in (select lang from q) or (jc <= {quality.MAX_CHAR_DIVERGENCE} and jw <= {quality.MAX_WORD_DIVERGENCE} + {quality.WORD_SLACK} / n_words), true) as kept
 from f
 """
+
+OP7 = """
+with p as (select page_id, url, strpos(url, '://') as mark from pages),
+r as (select page_id, case when mark > 0 then substr(url, mark + 3) end as rest from p),
+h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from r),
+rules(rule, host, path, verdict) as (values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+f as (select h.page_id, rules.rule, rules.verdict, row_number() over (partition by h.page_id order by length(rules.rule) desc) as n
+      from h join rules on (h.host = rules.host or suffix(h.host, '.' || rules.host)) and prefix(h.path, rules.path))
+select h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, 'allow') as verdict from h left join f on f.page_id = h.page_id and f.n = 1
+"""
+
+OP10 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+e as (select *, 12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1
+                + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 as size from c)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(size)::bigint as formatted_chars
+from e group by conv_id
+"""

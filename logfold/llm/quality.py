@@ -50,10 +50,12 @@ if(size(w) < 4, 0, transform(array(transform(sequence(0, size(w) - 3), i -> xxha
 """
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms chars and common."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", records: bool = False) -> DataFrame:
+    """Per row: (the whole row as record,) doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms chars and common."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    record = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record")] if records else []
     split = docs.select(
+        *record,
         F.col(id_col).alias("doc_id"),
         F.col(lang_col).alias("lang"),
         text.alias("text"),
@@ -67,6 +69,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     hits = F.filter(bare, lambda x: x.isin(VOCABULARY))
     common = F.transform(F.array(hits), lambda h: F.transform(vocabulary, lambda c: F.size(h) - F.size(F.array_remove(h, c))))[0]
     return split.select(
+        *(["record"] if records else []),
         "doc_id",
         "lang",
         F.size("w").alias("n_words"),
@@ -108,9 +111,7 @@ def divergence(histogram: Column, reference: list[float]) -> Column:
     return F.aggregate(F.zip_with(shares, F.array(*map(F.lit, reference)), term), F.lit(0.0), lambda a, x: a + x)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, the counts, char_divergence, word_divergence (null where not judged), base_failed and kept."""
-    counted = cut(counts(docs, id_col, text_col, lang_col), "counts")
+def _verdicts(counted: DataFrame) -> DataFrame:
     known = references(counted)
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
@@ -122,5 +123,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     out = counted.withColumn("base_failed", failed).withColumn("char_divergence", least("chars", 0)).withColumn("word_divergence", least("common", 1))
     near = (F.col("char_divergence") <= MAX_CHAR_DIVERGENCE) & (F.col("word_divergence") <= MAX_WORD_DIVERGENCE + WORD_SLACK / n)
+    return out.withColumn("kept", ~failed & F.coalesce(near, F.lit(True)))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per row: doc_id, the counts, char_divergence, word_divergence (null where not judged), base_failed and kept."""
+    out = _verdicts(cut(counts(docs, id_col, text_col, lang_col), "counts"))
     longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.select("doc_id", *longs, "char_divergence", "word_divergence", "base_failed", (~failed & F.coalesce(near, F.lit(True))).alias("kept"))
+    return out.select("doc_id", *longs, "char_divergence", "word_divergence", "base_failed", "kept")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _verdicts(cut(counts(docs, id_col, text_col, lang_col, records=True), "counts")).where("kept").select("record.*")

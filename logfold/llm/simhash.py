@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, row_key, schema_with, without
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: LOW[n] has the n lowest bits set.
@@ -52,16 +51,16 @@ def simhash(text: bytes, words_per_shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long), one row per input row."""
+    """``doc_id, row, fp`` (row: hash of id and text; fp: the fingerprint as a signed long), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             out = np.fromiter((simhash(t.as_py() or b"", words_per_shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "fp long"))
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -220,7 +219,7 @@ def near_duplicates(
     agree: int = 2,
     bucket_limit: int = 8192,
 ) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs``: components of fingerprints linked within ``radius`` bits."""
+    """``doc_id, row, fp, component_id`` for each row of ``docs``: components of fingerprints linked within ``radius`` bits."""
     marked = cut(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     reached = components(links(distinct, radius, blocks, agree, bucket_limit))
@@ -228,7 +227,13 @@ def near_duplicates(
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     linked_ids = named.join(ids, "rep").select(F.col("node").alias("fp"), "component_id")
     ids = distinct.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose id is not the least of their component; a component without any id stays whole."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    return without(docs, found.where("doc_id is null and component_id is not null or doc_id <> component_id"), id_col, text_col)
 
 
 def fingerprint_hex(fp):
