@@ -111,30 +111,44 @@ def fit(table: pa.Table, swap_penalty: float = 1.0, sparsity: float = 4e-4, leas
     cols, rows, width = new[cols[keep]], rows[keep], int(often.sum())
     order = np.argsort(rows, kind="stable")
     cols, rows = cols[order], rows[order]
-    # Counterfactuals: for each row that names a group, the change of its features under a swap within the kind.
-    at = {w: i for i, w in enumerate(labels[0])}
-    swaps = []
-    for terms in IDENTITIES.values():
-        for w in terms.split():
-            if (i := at.get(w)) is not None and often[i]:
-                times = int((codes == i).sum())
-                others = [new[at[o]] for o in terms.split() if o != w and o in at and often[at[o]]]
-                swaps += [(new[i], o, times / max(1, len(others))) for o in (others or [-1])]
-    from_, to, mass = (np.array(x) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    # Counterfactuals: for each word that names a group, the change of its features under a swap within its kind.
+    at = [{x: i for i, x in enumerate(part)} for part in labels]
+
+    def features(word: str) -> list[int]:
+        names_of = [(0, word), *((1 + j, word[:k]) for j, k in enumerate(PREFIXES) if len(word) >= k)]
+        found = [base[p] + at[p][x] for p, x in names_of if x in at[p]]
+        return [int(new[f]) for f in found if often[f]]
+
+    swap, change, sign, mass = [], [], [], []
+    for terms in map(str.split, IDENTITIES.values()):
+        for w in terms:
+            if w not in at[0]:
+                continue
+            times = int((codes == at[0][w]).sum())
+            others = [o for o in terms if o != w]
+            for o in others:
+                mine, theirs = features(w), features(o)
+                swap += [len(mass)] * (len(mine) + len(theirs))
+                change += mine + theirs
+                sign += [1.0] * len(mine) + [-1.0] * len(theirs)
+                mass.append(times / len(others))
+    swap, change, sign, mass = np.array(swap, int), np.array(change, int), np.array(sign), np.array(mass)
+    smooth = 0.25 * len(rows) / n / 4 + 0.25
+    if len(mass):
+        smooth += 2 * swap_penalty * float((np.bincount(swap, minlength=len(mass)) * mass).sum()) / n
+    step = 1.0 / smooth
     w, v, b, vb, t = np.zeros(width), np.zeros(width), bias, bias, 1.0
-    step = 1.0 / (0.25 * np.bincount(rows).mean() / 4 + 2 * swap_penalty * (mass.max() / n if len(mass) else 0) + 0.25)
     last = np.inf
     for _ in range(steps):
         z = np.bincount(rows, weights=v[cols], minlength=n) + vb
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         error = (p - y) / n
         gradient = np.bincount(cols, weights=error[rows], minlength=width)
+        pull = np.zeros(0)
         if len(mass):
-            change = v[from_] - np.where(to >= 0, v[to], 0)
-            pull = 2 * swap_penalty * mass / n * change
-            np.add.at(gradient, from_, pull)
-            np.add.at(gradient, to[to >= 0], -pull[to >= 0])
-        loss = float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean() + sparsity * np.abs(v).sum())
+            pull = np.bincount(swap, weights=sign * v[change], minlength=len(mass))
+            gradient += np.bincount(change, weights=sign * (2 * swap_penalty / n * mass * pull)[swap], minlength=width)
+        loss = float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean() + sparsity * np.abs(v).sum() + swap_penalty / n * (mass * pull**2).sum())
         if loss > last:  # the momentum overshot
             step, t, v, vb = step * 0.7, 1.0, w.copy(), b
             last = np.inf
