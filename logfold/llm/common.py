@@ -63,10 +63,10 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``gone`` (doc_id, row) names."""
+    """``docs`` without the rows that ``gone`` (doc_id, row) names. Always a merge join, as ``gone`` grows with ``docs``."""
     away = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
     own = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    return own.join(away, (own["__key"] == away["__row"]) & own[id_col].eqNullSafe(away["__id"]), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return own.join(away.hint("merge"), (own["__key"] == away["__row"]) & own[id_col].eqNullSafe(away["__id"]), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def schema_with(df: DataFrame, more: str) -> T.StructType:

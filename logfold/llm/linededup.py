@@ -61,7 +61,8 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id", t
     """``docs`` with later repeated runs deleted from its text, and two more columns: n_lines (worded) and n_deleted."""
     gone = cut(deleted_lines(docs, min_bytes, id_col, text_col), "deleted").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("gone").alias("__gone"))
     own = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    both = own.join(gone, (own["__key"] == gone["__rid"]) & own[id_col].eqNullSafe(gone["__id"]), "left")
+    # Always a merge join: the deletions grow with the corpus, and the plan stays the same at every size.
+    both = own.join(gone.hint("merge"), (own["__key"] == gone["__rid"]) & own[id_col].eqNullSafe(gone["__id"]), "left")
     lines = _LINES.format(text=f"`{text_col}`")
     worded = F.expr(f"transform(filter(transform({lines}, (x, i) -> named_struct('i', i, 'b', {_BLANK.format(x='x')})), e -> not e.b), e -> e.i)")
     both = both.withColumn("__worded", worded)
