@@ -6,9 +6,9 @@ admissible edges is the model's own segmentation of a prefix, so each node keeps
 within the longest piece's length are alive. Whenever all their back pointers lead to one boundary, the ids before it
 are committed and the window moves on; memory does not grow with the text.
 
-No piece holds a space mark behind another character, and some control characters are in no piece at all, so paths
-always meet in front of a run of space marks and on both sides of such a character. The search starts anew there and
-remembers the ids of frequent stretches between two such boundaries.
+Paths always meet between two characters that stand side by side in no piece: in front of a run of space marks, around
+characters without a piece, mostly around punctuation. The search starts anew there and remembers the ids of frequent
+stretches between two such boundaries. An automaton of all pieces lists the edges of a stretch.
 
 Defined results: a null text has null ids; an empty one no ids. Decoding gives the text back, except that a text's own
 space marks (U+2581) come back as spaces. Rows that repeat are encoded each. Other columns are ignored. An empty table
@@ -63,12 +63,24 @@ class Codec:
         self.longest = max(map(len, self.id))
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a space mark behind another character")
+        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         used = set(chain.from_iterable(self.id))
         alone = "".join(re.escape(chr(c)) for c in range(1, 32) if chr(c) not in used)
         self.stretch = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]")
         self.whole = {p for p in self.id if self.merge(p) == [p]}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known = _Known(self)
+        self.units: dict[str, bytes] = {}
+        import ahocorasick
+
+        self.edges = ahocorasick.Automaton()
+        for p in self.whole:
+            self.edges.add_word(p, (len(p), self.id[p]))
+        self.edges.make_automaton()
+        self.name = [p for p, _, _ in pieces]
+        self.code = [np.int32(i).tobytes() for i in range(len(pieces))]
+        self.size = [len(p) for p, _, _ in pieces]
+        self.near: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """The model's merges by definition: the best scoring pair of neighbours first, the leftmost of equals."""
@@ -137,6 +149,50 @@ class Codec:
                     window, back = window[meet:], [back[meet], *back[meet + 1 :]]
         yield from _path(back, len(window))
 
+    def unit(self, text: str) -> bytes:
+        """Ids (as int32 bytes) of a short stretch without a sure boundary: the same search, over the automaton's edges."""
+        if len(text) == 1 or len(text) > 8 * self.longest:
+            return b"".join(self.code[i] for i in self.ids_of(self.search(text)))
+        back = [-1] * (len(text) + 1)
+        size, near = self.size, self.near
+        for end, (length, right) in self.edges.iter(text):
+            if back[end + 1] < 0:
+                left = back[end + 1 - length]
+                if end + 1 == length or near.get(left << 20 | right) or self.fit_ids(left, right):
+                    back[end + 1] = right
+        at, out = len(text), []
+        while at:
+            out.append(self.code[back[at]])
+            at -= size[back[at]]
+        return b"".join(out[::-1])
+
+    def fit_ids(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        if (known := self.near.get(key)) is None:
+            if len(self.near) > REMEMBERED:
+                self.near.clear()
+            known = self.near[key] = self.merge(self.name[left] + self.name[right]) == [self.name[left], self.name[right]]
+        return known
+
+    def stretch_ids(self, text: str) -> bytes:
+        """Ids of a stretch, parted at its sure boundaries."""
+        pairs, units, out, at = self.pairs, self.units, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(text[at:i])
+                at = i
+        out.append(text[at:])
+        found = []
+        for u in out:
+            if (ids := units.get(u)) is None:
+                ids = self.unit(u)
+                if len(u) <= REMEMBERED_LENGTH:
+                    if len(units) >= REMEMBERED // 3:
+                        units.clear()
+                    units[u] = ids
+            found.append(ids)
+        return b"".join(found)
+
     def ids_of(self, pieces: Iterable[str]) -> Iterator[int]:
         for p in pieces:
             if (i := self.id.get(p)) is not None:
@@ -171,7 +227,7 @@ class _Known(dict):
         self.codec = codec
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.fromiter(self.codec.ids_of(self.codec.search(stretch)), np.int32).tobytes()
+        ids = self.codec.stretch_ids(stretch)
         if len(stretch) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
