@@ -1,6 +1,6 @@
 """Toxicity: a counterfactually regularised classifier.
 
-Features of a text are its distinct words and their beginnings of 4 to 7 characters; a logistic model with an L1
+Features of a text are its distinct words and their beginnings of 4 and 6 characters; a logistic model with an L1
 penalty keeps few of them. Labelled texts that name a group are paired with the same text naming another group of the
 same kind; the fit penalises the squared change of the score over such a swap, so a group's name alone moves no score.
 
@@ -39,7 +39,7 @@ IDENTITIES = {
     "groupe": "musulmans chrétiens juifs femmes hommes homosexuels lesbiennes étrangers réfugiés handicapés arabes africains",
     "grupo": "musulmanes cristianos judíos mujeres hombres homosexuales lesbianas extranjeros refugiados discapacitados árabes africanos",
 }
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -64,7 +64,7 @@ def held_out(doc_id, fold: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % fold == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> pa.Table:
+def sample(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_negative: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5) -> pa.Table:
     """``words`` (distinct, lower case) and ``toxic`` of the training sample: at most max_positive + max_negative rows."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).dropna().where(~held_out(F.col("doc_id"), fold))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -90,7 +90,7 @@ def fit(table: pa.Table, swap_penalty: float = 1.0, sparsity: float = 4e-4, leas
         return Model(bias)
     lists = table.column("words").combine_chunks()
     words = lists.flatten()
-    row = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.asarray(lists.offsets)))
     found = words.dictionary_encode()
     codes, names = found.indices.to_numpy(), found.dictionary
     feature_of, owner, labels = [codes], [row], [names.to_pylist()]
@@ -103,10 +103,10 @@ def fit(table: pa.Table, swap_penalty: float = 1.0, sparsity: float = 4e-4, leas
         owner.append(pairs // len(starts.dictionary))
         labels.append(starts.dictionary.to_pylist())
     base = np.cumsum([0, *map(len, labels)])
-    cols = np.concatenate([c + b for c, b in zip(feature_of, base, strict=False)])
-    rows = np.concatenate(owner)
+    cols = np.concatenate([(c + b).astype(np.int32) for c, b in zip(feature_of, base, strict=False)])
+    rows = np.concatenate([o.astype(np.int32) for o in owner])
     often = np.bincount(cols, minlength=base[-1]) >= least_rows
-    new = np.cumsum(often) - 1
+    new = np.cumsum(often, dtype=np.int32) - 1
     keep = often[cols]
     cols, rows, width = new[cols[keep]], rows[keep], int(often.sum())
     order = np.argsort(rows, kind="stable")
