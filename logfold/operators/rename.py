@@ -115,18 +115,20 @@ class Rules:
     # Use
 
     def apply(self, channels: DataFrame, on_collision: str = "suffix") -> DataFrame:
-        """``channels`` renamed. Topics that meet get ``_1``, ``_2``, ... in order of id, or raise with ``fail``."""
+        """``channels`` renamed. Topics that meet within a file get ``_1``, ``_2``, ... in order of id, or raise with ``fail``."""
         topic, kind = F.col("topic"), F.col("message_type")
         schema = {"schema": self.schema(F.col("schema"))} if "schema" in channels.columns else {}
         out = channels.withColumns({"topic": self.topic(topic), "message_type": self.type(kind, topic), **schema, "__before": topic})
-        order = Window.partitionBy("topic").orderBy("channel_id")  # the dimension only
-        out = out.withColumn("__n", F.row_number().over(order) - 1)
+        file = ["file"] if "file" in channels.columns else []
+        # Windows over the dimension only. Channels that shared a topic before still share it.
+        out = out.withColumn("__first", F.min("channel_id").over(Window.partitionBy(*file, "__before")))
+        out = out.withColumn("__n", F.dense_rank().over(Window.partitionBy(*file, "topic").orderBy("__first", "__before")) - 1)
         if on_collision == "fail":
             met = out.where("__n > 0 and topic <> __before").select("topic").limit(1).collect()
             if met:
                 raise TopicCollisionError(f"two topics would be named {met[0].topic!r}")
         named = F.when(F.col("__n") > 0, F.concat("topic", F.lit("_"), F.col("__n").cast("string"))).otherwise(F.col("topic"))
-        return out.withColumn("topic", named).drop("__n", "__before")
+        return out.withColumn("topic", named).drop("__n", "__before", "__first")
 
     def missing(self, channels: DataFrame) -> DataFrame:
         """``kind, source`` of the exact rules whose source no channel has."""

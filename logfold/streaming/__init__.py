@@ -1 +1 @@
-
+"""Structured Streaming over recordings and event tables."""
