@@ -17,6 +17,7 @@ An empty table returns no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -33,34 +34,50 @@ _LOW = np.array([(1 << n) - 1 for n in range(65)], dtype=np.uint64)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def simhash(text: bytes, words_per_shingle: int) -> int:
-    """The fingerprint of one UTF-8 text. ``bytes.split`` parts at exactly the six ASCII white-space characters."""
+def simhash(text: bytes, words_per_shingle: int, n_words: int = 1) -> bytes:
+    """The fingerprint of one UTF-8 text: ``n_words`` times 64 bits, the lowest first.
+
+    ``bytes.split`` parts at exactly the six ASCII white-space characters. Further words come from further mixes of the
+    shingles' hashes.
+    """
     import xxhash
 
     words = text.translate(_FOLD).split()
     if not words:
-        return 0
+        return bytes(8 * n_words)
     k = words_per_shingle
     grams = [b" ".join(words)] if len(words) <= k else list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):  # whole texts, a slice of memory
-        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    ones = np.zeros(64 * n_words, np.int64)
+    for at in range(0, len(hashes), 4080):  # whole texts, a slice of memory
+        mixed = np.stack([_mix(hashes[at : at + 4080], i) for i in range(n_words)], axis=1)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        for b in range(0, len(bits), 255):  # sums of at most 255 ones fit a byte
+            ones += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _mix(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes themselves, or another 64 bits of each by multiplying and folding."""
+    for _ in range(turn):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+    return hashes
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """``doc_id, row, fp`` (row: hash of id and text; fp: the fingerprint as a signed long), one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, n_words: int = 1) -> DataFrame:
+    """``doc_id, row, fp``, one row per input row. row: hash of id and text; fp: a signed long, or the bytes of several words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            out = np.fromiter((simhash(t.as_py() or b"", words_per_shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "row", "fp"])
+            out = [simhash(t.as_py() or b"", words_per_shingle, n_words) for t in texts]
+            fps = pa.array(np.frombuffer(b"".join(out), np.int64)) if n_words == 1 else pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "row", "fp"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "fp long"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "fp long" if n_words == 1 else "fp binary"))
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -77,13 +94,15 @@ def _signed(x: int) -> int:
 def linked(fps: np.ndarray, starts: np.ndarray, radius: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Positions i < j of the pairs within ``radius`` bits, among fingerprints of the same bucket.
 
-    ``starts``: where each bucket starts in ``fps``; a bucket is a run of neighbours.
+    ``fps``: a 64-bit word each, or a row of several. ``starts``: where each bucket starts; a bucket is a run of neighbours.
     """
     n = len(fps)
+    words = np.ascontiguousarray(fps).reshape(n, -1)
+    width = 64 * words.shape[1]
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     tiles = (n + 63) // 64
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.zeros((64, tiles * 8), np.uint8)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+    planes = np.zeros((width, tiles * 8), np.uint8)
     planes[:, : (n + 7) // 8] = np.packbits(bits, axis=0, bitorder="little").T
     planes = planes.view(np.uint64)
     own = np.arange(n)
@@ -95,15 +114,15 @@ def linked(fps: np.ndarray, starts: np.ndarray, radius: int, chunk: int = 1 << 1
     wanted = _LOW[high] & ~_LOW[low]
     keep = wanted != 0
     query, tile, wanted = query[keep], tile[keep], wanted[keep]
-    width = max(1, radius.bit_length())
-    first = (1 << width) - 1 - radius
+    size = max(1, radius.bit_length())
+    first = (1 << size) - 1 - radius
     found_i, found_j = [], []
     for at in range(0, len(query), chunk):
         q, t, dead = query[at : at + chunk], tile[at : at + chunk], ~wanted[at : at + chunk]
-        mine = fps[q]
-        counters = [np.full(len(q), _ONES if first >> j & 1 else 0, np.uint64) for j in range(width)]
-        for b in range(64):
-            carry = planes[b][t] ^ (np.uint64(0) - (mine >> np.uint64(b) & np.uint64(1)))
+        mine = words[q]
+        counters = [np.full(len(q), _ONES if first >> j & 1 else 0, np.uint64) for j in range(size)]
+        for b in range(width):
+            carry = planes[b][t] ^ (np.uint64(0) - (mine[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)))
             for c in counters:
                 held = c & carry
                 c ^= carry
@@ -125,14 +144,14 @@ def linked(fps: np.ndarray, starts: np.ndarray, radius: int, chunk: int = 1 << 1
     return (np.concatenate(found_i) if found_i else empty), (np.concatenate(found_j) if found_j else empty)
 
 
-def stars(buckets: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by bucket: each linked fingerprint with a representative of its linked set in the bucket."""
+def stars(buckets: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket: each linked node with a representative of its linked set in the bucket."""
     starts = np.nonzero(np.append(True, buckets[1:] != buckets[:-1]))[0]
     sizes = np.diff(np.append(starts, len(buckets)))
     many = np.repeat(sizes > 1, sizes)
     if not many.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    buckets, fps = buckets[many], np.ascontiguousarray(fps[many])
+        return nodes[:0], nodes[:0]
+    buckets, fps, nodes = buckets[many], fps[many], nodes[many]
     i, j = linked(fps, np.nonzero(np.append(True, buckets[1:] != buckets[:-1]))[0], radius)
     label = np.arange(len(fps))
     while len(i):
@@ -144,45 +163,90 @@ def stars(buckets: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
         if (label == before).all():
             break
     member = label != np.arange(len(fps))
-    return fps[member], fps[label[member]]
+    return nodes[member], nodes[label[member]]
 
 
-def links(distinct_fps: DataFrame, radius: int, blocks: int, agree: int, bucket_limit: int = 8192) -> DataFrame:
-    """``u, v``: pairs of linked fingerprints (column ``fp``) that connect all within ``radius`` bits of each other."""
-    if blocks - radius < agree:
-        raise ValueError("blocks - radius must be agree at least, or links would be lost")
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(block_masks(blocks, agree))))
-    rows = distinct_fps.select("fp", F.explode(keys).alias("bucket"))
+def _starred(rows: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """``u, v``: stars of the linked nodes within the buckets of ``rows`` (bucket, node, fp: the words as bytes).
+
+    A bucket over the limit is dealt out as pairs of tiles, so that no task holds it whole and no pair is left out.
+    """
     large = cut(rows.groupBy("bucket").count().where(F.col("count") > bucket_limit), "buckets")
     if not large.isEmpty():
         tiles = F.ceil(F.col("count") / bucket_limit).cast("int")
-        own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), tiles).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit(7)), tiles).cast("int")
         dealt = rows.join(large, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        paired = dealt.select("fp", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-        rows = rows.join(large, "bucket", "left_anti").select("fp", "bucket").unionByName(paired)
+        paired = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp")
+        rows = rows.join(large, "bucket", "left_anti").select("bucket", "node", "fp").unionByName(paired)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(b, f):
-            u, v = stars(b, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        def out(b, n, f):
+            u, v = stars(b, f, n, radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        rest_b, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            b = np.concatenate([rest_b, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([rest_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(b):
+            if not batch.num_rows:
                 continue
-            done = int(np.searchsorted(b, b[-1]))  # the last bucket may go on in the next batch
+            b, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            f = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(b), -1)
+            new = [b, n, f]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
             if done:
-                yield out(b[:done], f[:done])
-            rest_b, rest_f = b[done:], f[done:]
-        if len(rest_b):
-            yield out(rest_b, rest_f)
+                yield out(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if held is not None:
+            yield out(*held)
 
-    ordered = rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+    ordered = rows.select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, "u long, v long")
 
 
+def links(distinct_fps: DataFrame, radius: int, blocks: int, agree: int, bucket_limit: int = 8192) -> DataFrame:
+    """``u, v``: pairs of linked fingerprints (column ``fp``, a long) that connect all within ``radius`` bits of each other."""
+    if blocks - radius < agree:
+        raise ValueError("blocks - radius must be agree at least, or links would be lost")
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(block_masks(blocks, agree))))
+    # The bytes of a long come with the highest first; the distance does not mind.
+    rows = distinct_fps.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    return _starred(rows, radius, bucket_limit)
+
+
+def banded_links(distinct: DataFrame, similarity: float, bits: int, slack: float = 1.0, recall: float = 0.95, seed: int = 1, bucket_limit: int = 8192) -> DataFrame:
+    """``u, v`` of nodes (column ``node``; ``fp``: words as bytes) whose shingle sets are about ``similarity`` alike or more.
+
+    Sets with Jaccard similarity s differ in a share arccos(2s / (1 + s)) / pi of their fingerprints' bits. Each band
+    picks some of the bits by a seed; nodes that agree on a band meet in its bucket. As many bands are taken as bring
+    a pair of exactly this similarity together with probability ``recall``. Pairs link within the expected number of
+    bits plus ``slack`` standard deviations. A band has 16 bits at least, and more as the corpus grows, so that a bucket
+    of unrelated texts stays below a few hundred.
+    """
+    n = max(2, distinct.count())
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+    width = max(16, math.ceil(math.log2(n)) - 9)
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
+    draw = np.random.Generator(np.random.PCG64(seed))
+    picked = [np.sort(draw.choice(bits, width, replace=False)) for _ in range(bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                ones = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = [(ones[:, p].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) for p in picked]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([part.column(0)] * bands), pa.concat_arrays([part.column(1)] * bands)],
+                    names=["band", "key", "node", "fp"],
+                )
+
+    rows = distinct.select("node", "fp").mapInArrow(run, "band int, key long, node long, fp binary")
+    return _starred(rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "fp"), radius, bucket_limit)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, rep``: the nodes of ``edges`` (u, v) with one representative for each connected component.
 
@@ -230,9 +294,24 @@ def near_duplicates(
     return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, bits: int = 256, **options) -> DataFrame:
+    """``doc_id, row, component_id``: components of texts whose shingle sets are about ``similarity`` alike or more.
+
+    Longer fingerprints than the exact search by radius takes, and candidates by bands of bits: see ``banded_links``.
+    Texts without a fingerprint of their own (equal ones) share a node, named by their least id.
+    """
+    marked = cut(fingerprints(docs, id_col, text_col, words_per_shingle, bits // 64), "fingerprints")
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct")
+    reached = components(banded_links(distinct, similarity, bits, **options))
+    ids = reached.groupBy("rep").agg(F.min("node").alias("component_id"))
+    of = reached.join(ids, "rep").select("node", "component_id")
+    named = distinct.join(of, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    return marked.join(named, "fp", "left").select("doc_id", "row", "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose id is not the least of their component; a component without any id stays whole."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    """``docs`` without the rows whose id is not the least of their component; rows without an id stay if all of the component lack one."""
+    found = similar_documents(docs, id_col, text_col, **options)
     return without(docs, found.where("doc_id is null and component_id is not null or doc_id <> component_id"), id_col, text_col)
 
 
