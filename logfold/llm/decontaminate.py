@@ -72,8 +72,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
     terms = cut(terms.withColumn("term_id", F.monotonically_increasing_id()), "terms")
     postings = index(docs, _small(terms), id_col, text_col)
     lists = postings.where("term_id >= 0").drop("doc_id", "row")
-    often = lists.groupBy("term_id").count()
-    places = wins.select("win", "n", F.posexplode("words").alias("off", "term")).join(terms, "term").join(often, "term_id", "left")
+    often = cut(lists.groupBy("term_id").count(), "often")
+    places = wins.select("win", "n", F.posexplode("words").alias("off", "term")).join(_small(terms), "term").join(_small(often), "term_id", "left")
     # The terms of each window, the rarest first; a term without postings rules its window out.
     ranked = places.groupBy("win", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "off", "term_id"))).alias("r")).where("r[0].f > 0")
     ranked = cut(ranked, "ranked")

@@ -52,7 +52,8 @@ def deleted_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
     shared = spread.where("a <> b or c <> d").select("fp")
     met = cut(rows.join(shared, "fp", "left_semi").select("doc_id", "rid", "lo", "c", "key", "chk"), "matches")
     first = met.groupBy("key", "chk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "lo")).alias("first")).where("times > 1")
-    later = met.join(first, ["key", "chk"]).where(F.struct("doc_id", "rid", "lo") > F.col("first"))
+    # A table of its own, so that the join reads both sides from exchanges and Spark can split a frequent run.
+    later = met.join(cut(first, "first"), ["key", "chk"]).where(F.struct("doc_id", "rid", "lo") > F.col("first"))
     runs = later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("lo", "c")).alias("runs"))
     return runs.select("doc_id", "rid", F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.lo - 1, r.lo + r.c - 2))))").alias("gone"))
 
