@@ -63,6 +63,11 @@ def contains(pattern: str, *columns: str, case: bool = False) -> Column:
     return reduce(Column.__or__, (cut(F.col(c)).contains(pattern if case else pattern.lower()) for c in columns))
 
 
+def any_contains(patterns: list[str], column: str = "topic") -> Column:
+    """The column holds one of the texts."""
+    return reduce(Column.__or__, (F.col(column).contains(p) for p in patterns), F.lit(False))
+
+
 def is_standard(column: str = "message_type") -> Column:
     return F.col(column).rlike("^(" + "|".join(STANDARD) + ")/")
 
