@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..errors import BufferError_, EncodeError, InvalidRuleError, ParseError, UnsupportedError
+from ..errors import BufferTooShortError, EncodeError, InvalidRuleError, ParseError, UnsupportedError
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
     out = shift = 0
     while True:
         if at >= len(data):
-            raise BufferError_("a varint is cut off")
+            raise BufferTooShortError("a varint is cut off")
         byte = data[at]
         at += 1
         out |= (byte & 0x7F) << shift
@@ -44,13 +44,13 @@ def decode_wire(data: bytes) -> dict[str, int | str | bytes]:
         elif wire in (1, 5):
             size = 8 if wire == 1 else 4
             if at + size > len(data):
-                raise BufferError_("a fixed field is cut off")
+                raise BufferTooShortError("a fixed field is cut off")
             out[key] = struct.unpack_from("<Q" if wire == 1 else "<I", data, at)[0]
             at += size
         elif wire == 2:
             n, at = read_varint(data, at)
             if at + n > len(data):
-                raise BufferError_("a field is cut off")
+                raise BufferTooShortError("a field is cut off")
             part = data[at : at + n]
             at += n
             try:

@@ -17,7 +17,7 @@ def _kind(name: str, doc: str) -> type[LogfoldError]:
 
 
 ParseError = _kind("ParseError", "A text, schema or file does not follow its grammar.")
-BufferError_ = _kind("BufferError_", "A payload ends before its schema does.")
+BufferTooShortError = _kind("BufferTooShortError", "A payload ends before its schema does.")
 UnsupportedError = _kind("UnsupportedError", "A feature that is not implemented on purpose.")
 UnknownCodecError = _kind("UnknownCodecError", "No codec has this name.")
 TypeNotFoundError = _kind("TypeNotFoundError", "A schema refers to a type it does not hold.")

@@ -152,6 +152,35 @@ class Rules:
             raise TypeCollisionError(f"{row.n_schemas} schemas would be named {row.target!r}")
 
 
+def transform_channels(channels: DataFrame, *steps) -> DataFrame:
+    """Custom transforms on the dimension: each step is a Python function of a topic that gives the new one, or None to drop it."""
+    spark = channels.sparkSession
+    topics = [r.topic for r in channels.select("topic").distinct().collect()]  # 65 536 a file at most
+    moved = []
+    for t in topics:
+        new = t
+        for step in steps:
+            new = step(new)
+            if new is None:
+                break
+        if new is not None:
+            moved.append((t, new))
+    table = spark.createDataFrame(moved, "topic string, __new string")
+    return channels.join(F.broadcast(table), "topic").withColumn("topic", F.col("__new")).drop("__new").select(*channels.columns)
+
+
+def by_rule_table(channels: DataFrame, rules: DataFrame) -> DataFrame:
+    """``channels`` renamed by a table of rules (pattern: an expression; target; priority): the first match by priority wins.
+
+    The theta join runs between two dimensions; the smaller, the rules, is broadcast.
+    """
+    from pyspark.sql import Window
+
+    both = channels.join(F.broadcast(rules), F.expr("topic rlike pattern"), "left")
+    best = both.withColumn("__n", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.col("priority").asc_nulls_last()))).where("__n = 1")
+    return best.withColumn("topic", F.coalesce(F.expr("regexp_replace(topic, pattern, target)"), "topic")).select(*channels.columns)
+
+
 def _literal(text: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", text)
 

@@ -237,8 +237,10 @@ class Writer:
         self.infos.append(_record(head, counts))
         self._new_chunk()
 
-    def finish(self) -> None:
+    def finish(self, with_summary: bool = True) -> None:
         self.flush()
+        if not with_summary:
+            return
         index = self.f.tell()
         for _, c in sorted(self.connections.items()):
             self.f.write(c)

@@ -218,7 +218,7 @@ class Written(WriterCommitMessage):
 
 
 class MessageWriter(DataSourceWriter):
-    """One container per non-empty partition; ``format``: mcap or bag."""
+    """One container per non-empty partition; ``format``: mcap or bag; ``summary=false``: without a summary or index."""
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
@@ -226,6 +226,7 @@ class MessageWriter(DataSourceWriter):
         self.compression = options.get("compression", "zstd" if self.format == "mcap" else "none")
         self.chunk = int(options.get("chunksize", options.get("chunkSize", (4 << 20) if self.format == "mcap" else (768 << 10))))
         self.level = int(options.get("compressionlevel", options.get("compressionLevel", 3)))
+        self.summary = options.get("summary", "true").lower() != "false"
         if self.format not in ("mcap", "bag"):
             raise UnsupportedError(f"format {self.format!r}")
         self.names, self.overwrite, self.job = schema.names, overwrite, uuid.uuid4().hex[:12]
@@ -261,7 +262,7 @@ class MessageWriter(DataSourceWriter):
                 out.write(ids[key], r["log_time"], r["log_time"] if publish is None else publish, bytes(r["data"] or b""), r.get("sequence"))
                 n += 1
             if out is not None:
-                out.finish()
+                out.finish(self.summary)
         finally:
             if f is not None:
                 f.close()

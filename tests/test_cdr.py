@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logfold.codecs import cdr, proto
-from logfold.errors import BufferError_, EncodeError, InvalidRuleError, ParseError, UnsupportedError
+from logfold.errors import BufferTooShortError, EncodeError, InvalidRuleError, ParseError, UnsupportedError
 from logfold.plans import schema as S
 from logfold.queries.payloads import descriptors
 
@@ -26,9 +26,9 @@ def test_unterminated_string_and_damage():
     s = S.parse("a/S", "string data")
     assert cdr.Reader(s).decode(b"\0\1\0\0" + struct.pack("<I", 2) + b"ab")["data"] == "ab"
     for bad in (b"", b"\0\1", b"\0\1\0\0" + struct.pack("<I", 9) + b"ab", b"\0\1\0\0" + struct.pack("<I", 20_000_000)):
-        with pytest.raises(BufferError_):
+        with pytest.raises(BufferTooShortError):
             cdr.Reader(s).decode(bad)
-    with pytest.raises(BufferError_):  # a big-endian header in front of little-endian content
+    with pytest.raises(BufferTooShortError):  # a big-endian header in front of little-endian content
         cdr.Reader(s).decode(b"\1\0\0\0" + struct.pack("<I", 13) + b"Hello, World!")
     with pytest.raises(UnsupportedError):
         cdr.Reader(s).decode(b"\0\x77\0\0")
@@ -80,7 +80,7 @@ def test_wire_format():
     assert proto.decode_wire(b"\x08\x96\x01\x12\x07testing\x19\1\0\0\0\0\0\0\0\x25\2\0\0\0\x2a\2\xff\xfe") == {"1": 150, "2": "testing", "3": 1, "4": 2, "5": b"\xff\xfe"}
     assert proto.decode_wire(b"\x08\xff\xff\xff\xff\xff\xff\xff\xff\xff\x01\x08\x05") == {"1": 5}
     assert proto.decode_wire(b"\x08\xff\xff\xff\xff\xff\xff\xff\xff\xff\x01") == {"1": -1}
-    for bad, error in ((b"\x08", BufferError_), (b"\x12\x05ab", BufferError_), (b"\x0b", UnsupportedError), (b"\x0f", ParseError), (b"\x08" + b"\xff" * 11, ParseError)):
+    for bad, error in ((b"\x08", BufferTooShortError), (b"\x12\x05ab", BufferTooShortError), (b"\x0b", UnsupportedError), (b"\x0f", ParseError), (b"\x08" + b"\xff" * 11, ParseError)):
         with pytest.raises(error):
             proto.decode_wire(bad)
 
