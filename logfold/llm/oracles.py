@@ -52,7 +52,8 @@ from d left join kept on kept.rid = d.rid left join cnt on cnt.rid = d.rid left
 
 def _classes() -> str:
     """Characters of each class, counted; DuckDB's RE2 knows the same classes."""
-    return ", ".join(f"length(t) - length(regexp_replace(t, '[{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in quality.CLASSES)
+    each = [f"length(regexp_replace(t, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in quality.CLASSES]
+    return ", ".join([*each, "length(t) - length(array_to_string(w, ''))"])
 
 
 def _jsd(a: str, b: str) -> str:
@@ -68,7 +69,7 @@ g as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (selec
 r as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from (select rid, i, count(*) over (partition by rid, g) as k from g) where k > 1) group by rid),
 l as (select rid, count(*) - count(distinct x) as n from (select rid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by rid),
 c as (select rid, [{_classes()}] as h, length(t) as n from d),
-hc as (select rid, 'c' || i as bin, v as n, 'c' as part from (select rid, unnest(h) as v, unnest(range({len(quality.CLASSES)})) as i from c)
+hc as (select rid, 'c' || i as bin, v as n, 'c' as part from (select rid, unnest(h) as v, unnest(range({len(quality.CLASSES) + 1})) as i from c)
        union all select rid, 'c_' as bin, n - list_sum(h) as n, 'c' as part from c),
 hits as (select rid, rtrim(lower(x), '.,;:?!') as x from (select rid, unnest(w) as x from d)),
 hw as (select d.rid, v.v as bin, coalesce(k.n, 0) as n, 'w' as part from d cross join (select unnest([{words}]) as v) v

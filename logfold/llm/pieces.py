@@ -32,7 +32,7 @@ from .common import schema_with
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 #: Stretches remembered by a Python worker, and their longest length in characters.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 40
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
 
 
 def load(path: str) -> list[tuple[str, float, int]]:

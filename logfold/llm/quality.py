@@ -28,8 +28,8 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur au avec ne",
 }
 VOCABULARY = sorted({w for words in COMMON.values() for w in words.split()})
-#: Character classes, each as a Java regular expression class; characters of none are the last class.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"0-9", r"\x20\x09-\x0D", r".,;:?'\"()\-", r"#*$%&|<>!@^~=+_{}\[\]\\/`")
+#: Character classes, each as a Java regular expression class; white space is a class, and all other characters are.
+CLASSES = (r"\p{Lu}", r"0-9", r".,;:?'\"()\-", r"#*$%&|<>!@^~=+_{}\[\]\\/`")
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -62,8 +62,10 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"{SPACE}+", "") != "").alias("l"),
     )
-    of_class = [F.length("text") - F.length(F.regexp_replace("text", f"[{c}]+", "")) for c in CLASSES]
-    chars = F.array(*of_class)
+    words_only = F.length(F.array_join("w", ""))
+    # All but the class is cut out: the classes are rare, so that takes few and long cuts.
+    of_class = [F.length(F.regexp_replace("text", f"[^{c}]+", "")) for c in CLASSES]
+    chars = F.array(*of_class, F.length("text") - words_only)
     vocabulary = F.array(*map(F.lit, VOCABULARY))
     bare = F.transform("w", lambda x: F.rtrim(F.lower(x), F.lit(".,;:?!")))
     hits = F.filter(bare, lambda x: x.isin(VOCABULARY))
@@ -73,7 +75,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         "doc_id",
         "lang",
         F.size("w").alias("n_words"),
-        F.length(F.array_join("w", "")).alias("word_chars"),
+        words_only.alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.expr(_REPEATS).alias("n_repeat_words"),
@@ -91,7 +93,7 @@ def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]
         sums.setdefault(lang, {})[at] = n
     found = {}
     for lang, of in sums.items():
-        edge, end = len(CLASSES) + 1, len(CLASSES) + len(VOCABULARY) + 2
+        edge, end = len(CLASSES) + 2, len(CLASSES) + len(VOCABULARY) + 3
         parts = [[of.get(i, 0) for i in range(*r)] for r in ((0, edge), (edge, end))]
         if all(map(sum, parts)):
             found[lang] = tuple([x / sum(p) for x in p] for p in parts)
