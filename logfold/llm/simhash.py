@@ -7,7 +7,7 @@
 3. A bucket's fingerprints stand as vertical bit planes, 64 to a machine word. One fingerprint is compared with a
    whole word of others at a time: the XOR of each plane is added to carry-save counters, which start so that
    exceeding the radius overflows them; a block whose members all overflowed is abandoned.
-   Buckets over ``bucket_limit`` are dealt out as pairs of tiles, which is exact too.
+   The fingerprints of a bucket over ``bucket_limit`` get finer keys from the bits left open, which loses no link either.
 4. A bucket returns a star per linked set, not its pairs. Stars meet in a distributed contraction.
 
 Defined results: null and empty texts (and those of white space) have fingerprint zero and are linked like any other;
@@ -80,11 +80,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "fp long" if n_words == 1 else "fp binary"))
 
 
-def block_masks(blocks: int, agree: int) -> list[int]:
-    """The bits that each choice of ``agree`` of ``blocks`` near-equal blocks covers."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    whole = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    return [sum(whole[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
+def block_masks(blocks: int, agree: int, positions: list[int] | None = None) -> list[int]:
+    """The bits that each choice of ``agree`` of ``blocks`` near-equal blocks covers, of all 64 or of some positions."""
+    positions = list(range(64)) if positions is None else positions
+    whole = [sum(1 << p for p in positions[len(positions) * i // blocks : len(positions) * (i + 1) // blocks]) for i in range(blocks)]
+    return [sum(chosen) for chosen in combinations(whole, agree)]
 
 
 def _signed(x: int) -> int:
@@ -166,23 +166,25 @@ def stars(buckets: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int)
     return nodes[member], nodes[label[member]]
 
 
-def _starred(rows: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+def _compared(rows: DataFrame, radius: int, heads: bool = False) -> DataFrame:
     """``u, v``: stars of the linked nodes within the buckets of ``rows`` (bucket, node, fp: the words as bytes).
 
-    A bucket over the limit is dealt out as pairs of tiles, so that no task holds it whole and no pair is left out.
+    With ``heads`` and a further column ``origin``, rows ``origin, node, fp`` of one node of each linked set as well,
+    with u and v null.
     """
-    large = cut(rows.groupBy("bucket").count().where(F.col("count") > bucket_limit), "buckets")
-    if not large.isEmpty():
-        tiles = F.ceil(F.col("count") / bucket_limit).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit(7)), tiles).cast("int")
-        dealt = rows.join(large, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        paired = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp")
-        rows = rows.join(large, "bucket", "left_anti").select("bucket", "node", "fp").unionByName(paired)
+    names = ["u", "v", *(["origin", "node", "fp"] if heads else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(b, n, f):
+        def out(b, n, f, *origin):
             u, v = stars(b, f, n, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            stay = ~np.isin(n, u) if heads else np.zeros(0, bool)
+            k = int(stay.sum())
+            none = lambda size, kind: pa.nulls(size, kind)
+            columns = [pa.concat_arrays([pa.array(x), none(k, pa.int64())]) for x in (u, v)]
+            if heads:
+                own = [pa.array(origin[0][stay]), pa.array(n[stay]), pa.array([x.tobytes() for x in f[stay]], pa.binary())]
+                columns += [pa.concat_arrays([none(len(u), x.type), x]) for x in own]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -190,7 +192,7 @@ def _starred(rows: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
                 continue
             b, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             f = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(b), -1)
-            new = [b, n, f]
+            new = [b, n, f, *([batch.column(3).to_numpy(zero_copy_only=False)] if heads else [])]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             done = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
             if done:
@@ -199,21 +201,73 @@ def _starred(rows: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
         if held is not None:
             yield out(*held)
 
-    ordered = rows.select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket")
-    return ordered.mapInArrow(run, "u long, v long")
+    ordered = rows.select("bucket", "node", "fp", *(["origin"] if heads else [])).repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "u long, v long" + (", origin long, node long, fp binary" if heads else ""))
+
+
+def _large(rows: DataFrame, limit: int) -> DataFrame:
+    return cut(rows.groupBy("bucket").count().where(F.col("count") > limit), "buckets")
 
 
 def links(distinct_fps: DataFrame, radius: int, blocks: int, agree: int, bucket_limit: int = 8192) -> DataFrame:
-    """``u, v``: pairs of linked fingerprints (column ``fp``, a long) that connect all within ``radius`` bits of each other."""
+    """``u, v``: pairs of linked fingerprints (column ``fp``, a long) that connect all within ``radius`` bits of each other.
+
+    The fingerprints of a bucket over the limit get finer keys: the bits that the bucket leaves open are cut into blocks
+    again, of which any linked pair agrees on as many. So a frequent key is split without losing a link, until the open
+    bits cannot tell more than the limit apart.
+    """
     if blocks - radius < agree:
         raise ValueError("blocks - radius must be agree at least, or links would be lost")
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(block_masks(blocks, agree))))
+    masks = [0]
+    rows = distinct_fps.select("fp", F.lit(0).alias("path"))
+    done: DataFrame | None = None
+    while True:
+        finer = [[_signed(m | k) for k in block_masks(blocks, agree, [b for b in range(64) if not m >> b & 1])] for m in masks]
+        table = F.array(*(F.array(*map(F.lit, some)) for some in finer))
+        width = len(finer[0])
+        each = F.transform(F.element_at(table, F.col("path") + 1), lambda m, j: F.struct((F.col("path") * width + j).alias("path"), F.col("fp").bitwiseAND(m).alias("part")))
+        rows = rows.select("fp", F.inline(each)).select("fp", "path", F.xxhash64("path", "part").alias("bucket"))
+        masks = [m % (1 << 64) for some in finer for m in some]
+        large = _large(rows, bucket_limit)
+        open_bits = max(64 - m.bit_count() for m in masks)
+        if large.isEmpty() or 1 << open_bits <= max(bucket_limit, 256):
+            done = rows if done is None else done.unionByName(rows)
+            break
+        small = rows.join(large, "bucket", "left_anti").select("fp", "path", "bucket")
+        done = small if done is None else done.unionByName(small)
+        rows = rows.join(large, "bucket", "left_semi").select("fp", "path")
     # The bytes of a long come with the highest first; the distance does not mind.
-    rows = distinct_fps.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
-    return _starred(rows, radius, bucket_limit)
+    return _compared(done.select("bucket", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")), radius)
+
 
+def _tournament(rows: DataFrame, radius: int, bucket_limit: int, tile: int) -> DataFrame:
+    """``u, v`` as ``_compared``, with buckets over the limit in rounds.
 
-def banded_links(distinct: DataFrame, similarity: float, bits: int, slack: float = 1.0, recall: float = 0.95, seed: int = 1, bucket_limit: int = 8192) -> DataFrame:
+    A large bucket is dealt out as tiles. Each tile finds its linked sets and sends one head of each to the next round,
+    so a group of near copies shrinks by the size of a tile a round, and every row is compared with a tile and a few
+    heads. Where a round leaves most rows as heads, pairs of tiles are compared whole.
+    """
+    found, turn = None, 0
+    while True:
+        large = _large(rows, bucket_limit)
+        if large.isEmpty():
+            last = _compared(rows, radius)
+            return last if found is None else found.unionByName(last)
+        tiles = F.ceil(F.col("count") / tile).cast("int")
+        hot = rows.join(large, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), tiles).cast("int"))
+        dealt = cut(_compared(hot.select(F.xxhash64("bucket", "own").alias("bucket"), "node", "fp", F.col("bucket").alias("origin")), radius, heads=True), "round")
+        heads = dealt.where("node is not null").select(F.col("origin").alias("bucket"), "node", "fp")
+        pairs = [_compared(rows.join(large, "bucket", "left_anti").select("bucket", "node", "fp"), radius), dealt.where("u is not null").select("u", "v")]
+        if heads.count() > 0.5 * large.agg(F.sum("count")).first()[0]:
+            other = hot.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).where("own <> other")
+            pairs.append(_compared(other.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp"), radius))
+            heads = heads.where("false")
+        for p in pairs:
+            found = p if found is None else found.unionByName(p)
+        rows, turn = heads, turn + 1
+
+
+def banded_links(distinct: DataFrame, similarity: float, bits: int, slack: float = 1.0, recall: float = 0.95, seed: int = 1, bucket_limit: int = 8192, tile: int = 1024) -> DataFrame:
     """``u, v`` of nodes (column ``node``; ``fp``: words as bytes) whose shingle sets are about ``similarity`` alike or more.
 
     Sets with Jaccard similarity s differ in a share arccos(2s / (1 + s)) / pi of their fingerprints' bits. Each band
@@ -244,7 +298,7 @@ def banded_links(distinct: DataFrame, similarity: float, bits: int, slack: float
                 )
 
     rows = distinct.select("node", "fp").mapInArrow(run, "band int, key long, node long, fp binary")
-    return _starred(rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "fp"), radius, bucket_limit)
+    return _tournament(rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "fp"), radius, bucket_limit, tile)
 
 
 def components(edges: DataFrame) -> DataFrame:

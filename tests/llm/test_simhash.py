@@ -69,6 +69,21 @@ def test_bit_sliced_pairs(radius):
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(map(tuple, np.argwhere(np.triu(near, 1)).tolist()))
 
 
+def test_frequent_keys_are_split_without_losing_links(spark):
+    """Thousands of fingerprints that share 32 bits, some of them within two bits of each other."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 1500, dtype=np.uint64)
+    near = base[:400] ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near]) | np.uint64(0xABCDEF01 << 32))
+    ids = list(range(len(fps)))
+    want = brute_components(ids, fps, 2)
+    rows = spark.createDataFrame([(int(f.astype(np.int64)),) for f in fps], "fp long")
+    for limit in (300, 1 << 20):
+        found = {r.node % (1 << 64): r.rep for r in S.components(S.links(rows, 2, 4, 2, limit)).collect()}
+        got = [found.get(int(f), int(f)) for f in fps]
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(0, len(ids), 7) for j in ids)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000)], "u long, v long")
     found = {r.node: r.rep for r in S.components(edges).collect()}
@@ -113,6 +128,9 @@ def test_similar_documents_recall_and_precision(spark, empty):
     assert sum(found[i] == found[i + 1] for i in pairs) / len(pairs) >= 0.9
     assert not any(found[i] == found[i + 1] for i in far)
     assert {found[i] for i, _ in rows if i >= 10_000} == {10_000}
+    # The same with buckets that are dealt out in rounds.
+    small = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), bucket_limit=16, tile=8).collect()}
+    assert {small[i] for i, _ in rows if i >= 10_000} == {10_000} and sum(small[i] == found[i] for i in small) / len(small) > 0.99
     assert all(found[2 * i] == 2 * i for i in range(300))
     assert S.similar_documents(empty).count() == 0
 
