@@ -62,6 +62,7 @@ def _jsd(a: str, b: str) -> str:
 
 def op5() -> str:
     words = ", ".join(f"'{w}'" for w in quality.VOCABULARY)
+    symbols = ", ".join(f"'{w}'" for w in quality.SYMBOLS)
     langs = ", ".join(f"'{x}'" for x in sorted(quality.COMMON))
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
@@ -71,11 +72,11 @@ l as (select rid, count(*) - count(distinct x) as n from (select rid, unnest(str
 c as (select rid, [{_classes()}] as h, length(t) as n from d),
 hc as (select rid, 'c' || i as bin, v as n, 'c' as part from (select rid, unnest(h) as v, unnest(range({len(quality.CLASSES) + 1})) as i from c)
        union all select rid, 'c_' as bin, n - list_sum(h) as n, 'c' as part from c),
-hits as (select rid, rtrim(lower(x), '.,;:?!') as x from (select rid, unnest(w) as x from d)),
-hw as (select d.rid, v.v as bin, coalesce(k.n, 0) as n, 'w' as part from d cross join (select unnest([{words}]) as v) v
-         left join (select rid, x, count(*) as n from hits where x in ({words}) group by rid, x) k on k.rid = d.rid and k.x = v.v
+hits as (select rid, case when x in ({symbols}) then ' ' else x end as x from (select rid, rtrim(lower(x), '.,;:?!') as x from (select rid, unnest(w) as x from d))),
+hw as (select d.rid, v.v as bin, coalesce(k.n, 0) as n, 'w' as part from d cross join (select unnest([{words}, ' ']) as v) v
+         left join (select rid, x, count(*) as n from hits where x in ({words}, ' ') group by rid, x) k on k.rid = d.rid and k.x = v.v
        union all select d.rid, '_' as bin, len(d.w) - coalesce(k.n, 0) as n, 'w' as part from d
-         left join (select rid, count(*) as n from hits where x in ({words}) group by rid) k on k.rid = d.rid),
+         left join (select rid, count(*) as n from hits where x in ({words}, ' ') group by rid) k on k.rid = d.rid),
 h as (select * from hc union all select * from hw),
 p as (select rid, part, bin, n / nullif(sum(n) over (partition by rid, part), 0) as p from h),
 q as (select lang, part, bin, n / sum(n) over (partition by lang, part) as q from

@@ -1,7 +1,7 @@
 """Quality rules: distribution divergence from language references. DataFrame operations only.
 
-A document has two histograms: its characters by class, and its words by common word (of any language below, or none
-of them). The references of a language are the histograms of all documents that state it, summed over the whole
+A document has two histograms: its characters by class, and its words by common word (of any language below), as a
+lone symbol, or neither. The references of a language are the histograms of all documents that state it, summed over the whole
 corpus. A document's divergence is the least Jensen-Shannon distance (in bits) to any reference, for either histogram.
 Documents mixed from known languages thus stay near one of them; symbol noise, shouting, tables and word lists do not.
 
@@ -28,13 +28,15 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur au avec ne",
 }
 VOCABULARY = sorted({w for words in COMMON.values() for w in words.split()})
+#: Words of a symbol only, which are a bin of their own.
+SYMBOLS = ["|", "||", "-", "--", "*", "**", "#", "##", "=", "/", "+", "&", "%", "$", "~", "^", "_", "<", ">", "@", "•", "·", "—", "–"]
 #: Character classes, each as a Java regular expression class; white space is a class, and all other characters are.
 CLASSES = (r"\p{Lu}", r"0-9", r".,;:?'\"()\-", r"#*$%&|<>!@^~=+_{}\[\]\\/`")
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_CHAR_DIVERGENCE = 0.07
-MAX_WORD_DIVERGENCE = 0.1
+MAX_WORD_DIVERGENCE = 0.16
 WORD_SLACK = 2.0
 
 #: Words in 3-word windows that occur twice or more. Windows are compared by 64-bit hash. Few repeated hashes are
@@ -68,8 +70,9 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     chars = F.array(*of_class, F.length("text") - words_only)
     vocabulary = F.array(*map(F.lit, VOCABULARY))
     bare = F.transform("w", lambda x: F.rtrim(F.lower(x), F.lit(".,;:?!")))
-    hits = F.filter(bare, lambda x: x.isin(VOCABULARY))
-    common = F.transform(F.array(hits), lambda h: F.transform(vocabulary, lambda c: F.size(h) - F.size(F.array_remove(h, c))))[0]
+    hits = F.filter(bare, lambda x: x.isin(VOCABULARY + SYMBOLS))
+    symbols = lambda h: F.array(F.size(F.filter(h, lambda x: x.isin(SYMBOLS))))
+    common = F.transform(F.array(hits), lambda h: F.concat(F.transform(vocabulary, lambda c: F.size(h) - F.size(F.array_remove(h, c))), symbols(h)))[0]
     return split.select(
         *(["record"] if records else []),
         "doc_id",
@@ -93,7 +96,7 @@ def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]
         sums.setdefault(lang, {})[at] = n
     found = {}
     for lang, of in sums.items():
-        edge, end = len(CLASSES) + 2, len(CLASSES) + len(VOCABULARY) + 3
+        edge, end = len(CLASSES) + 2, len(CLASSES) + len(VOCABULARY) + 4
         parts = [[of.get(i, 0) for i in range(*r)] for r in ((0, edge), (edge, end))]
         if all(map(sum, parts)):
             found[lang] = tuple([x / sum(p) for x in p] for p in parts)
