@@ -1,27 +1,29 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 counts rows and bytes of fine cells and scatters the records by seeded hashes: a record's shard is the one that
-scores highest in rendezvous hashing of its id (so one more shard takes rows only into itself), its cell a hash of the
-whole record. Neighbouring cells of a shard are joined to buckets of at most ``bucket_bytes`` where cells allow.
+Pass 1 scatters the records uniformly by seeded hashes: a record's shard is the one that scores highest in rendezvous
+hashing of its id (so one more shard takes rows only into itself), its bucket within the shard a hash of the whole record.
+A shard has as many buckets as bring their mean to ``bucket_bytes``, whatever its size.
 Pass 2 gathers one bucket at a time, brings it into a canonical order, applies a seeded Fisher-Yates shuffle and hands
-out the shard's slots, which the counts of pass 1 make gapless. ``write`` stores the shards.
+out the shard's slots, which the counts of the buckets make gapless. ``write`` stores the shards.
 
 The order depends on the seed and the records alone, not on how they were partitioned, so a retried task repeats it.
 
-Defined results: a null text weighs ``overhead`` bytes; records with a null id share a shard; records that repeat in all
-columns are interchangeable and get a slot each. Records keep all their columns inside ``record``, whatever their
-names. An empty table returns no rows.
+Defined results: a null text weighs ``overhead`` bytes; records with a null id share a shard, spread over its buckets;
+records that repeat in all columns are interchangeable and get a slot each. Records keep all their columns inside
+``record``, whatever their names. An empty table returns no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CELLS = 512
+from .common import schema_with
+
+#: The counts of at most so many buckets are broadcast; those of more are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> tuple[Column, Column]:
@@ -43,33 +45,26 @@ def shuffled(
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + overhead
     digest = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), F.lit(seed))
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), size.alias("size"), own.alias("shard"), grown.alias("grown_shard"), digest.alias("digest"))
-    marked = marked.withColumn("cell", F.pmod(F.col("digest"), F.lit(CELLS)).cast("int"))
-    # At most n_shards * CELLS rows reach the driver, whatever the input.
-    cells = sorted(map(tuple, marked.groupBy("shard", "cell").agg(F.count("*"), F.sum("size")).collect()))
-    plan, bucket, at, held, last = [], -1, 0, 0, None
-    for shard, cell, rows, weight in cells:
-        if shard != last:
-            at, held, last, bucket = 0, 0, shard, bucket + 1
-        elif held + weight > bucket_bytes:
-            held, bucket = 0, bucket + 1
-        plan.append((shard, cell, bucket, at if not held else None))
-        held, at = held + weight, at + rows
-    bases = {b: base for _, _, b, base in plan if base is not None}
-    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("shard", "cell", "bucket")] + [T.StructField("base", T.LongType())])
-    dealt = docs.sparkSession.createDataFrame([(s, c, b, bases[b]) for s, c, b, _ in plan], schema)
-    scattered = marked.join(F.broadcast(dealt), ["shard", "cell"])
+    weights = {r.shard: r.n for r in marked.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row per shard
+    buckets = [max(1, -(-weights.get(k, 0) // bucket_bytes)) for k in range(n_shards)]
+    own_buckets = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
+    marked = marked.withColumn("bucket", F.pmod("digest", own_buckets).cast("int"))
+    counts = marked.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sum(buckets) <= BROADCAST_BUCKETS:
+        bases = F.broadcast(bases)
+    scattered = marked.join(bases, ["shard", "bucket"]).select("record", "size", "shard", "grown_shard", "bucket", "digest", "base")
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
         order = np.argsort(bucket.column("digest").to_numpy(), kind="stable")
-        draw = np.random.Generator(np.random.PCG64([seed, bucket.column("bucket")[0].as_py()]))
+        draw = np.random.Generator(np.random.PCG64([seed, bucket.column("shard")[0].as_py(), bucket.column("bucket")[0].as_py()]))
         draw.shuffle(order)  # numpy's Fisher-Yates
-        slots = np.empty(len(order), np.int64)
-        slots[:] = np.arange(len(order)) + bucket.column("base")[0].as_py()
-        return bucket.take(pa.array(order)).drop_columns(["digest", "base", "cell"]).append_column("slot", pa.array(slots))
+        slots = np.arange(len(order), dtype=np.int64) + bucket.column("base")[0].as_py()
+        return bucket.take(pa.array(order)).drop_columns(["digest", "base"]).append_column("slot", pa.array(slots))
 
-    kept = scattered.select("record", "size", "shard", "grown_shard", "cell", "bucket", "digest", "base")
-    out = T.StructType([f for f in kept.schema if f.name not in ("digest", "base", "cell")] + [T.StructField("slot", T.LongType())])
-    return kept.groupBy("bucket").applyInArrow(fisher_yates, out)
+    out = schema_with(scattered.drop("digest", "base"), "slot long")
+    return scattered.groupBy("shard", "bucket").applyInArrow(fisher_yates, out)
 
 
 def write(shards: DataFrame, path: str) -> None:
