@@ -77,9 +77,3 @@ def chunk_sizes(messages: DataFrame, chunk: str) -> DataFrame:
     """Per chunk: messages, payload bytes, the estimate of its serialised size, and its time bounds."""
     out = messages.groupBy(chunk).agg(F.count("*").alias("n_messages"), F.sum(F.length("data")).cast("long").alias("payload"), F.min("log_time").alias("first_time"), F.max("log_time").alias("last_time"))
     return out.withColumn("serialized", F.lit(24) + 26 * F.col("n_messages") + F.col("payload"))
-
-
-def gaps(messages: DataFrame, key: str) -> DataFrame:
-    """The time to the previous message of the channel."""
-    before = F.lag("log_time").over(Window.partitionBy("channel_id").orderBy("log_time", key))
-    return messages.select("channel_id", key, (F.col("log_time") - before).alias("gap"))

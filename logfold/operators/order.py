@@ -32,6 +32,21 @@ def with_sequence(messages: DataFrame, key: str, channel: str = "channel_id", ti
     return joined.withColumn(name, (F.col("__start") + F.col("__within")).cast("bigint")).drop("__slice", "__start", "__within")
 
 
+def with_gap(messages: DataFrame, key: str, channel: str = "channel_id", time: str = "log_time", slices: int = 16) -> DataFrame:
+    """The time to the channel's previous message as ``gap``, null for the first.
+
+    As for sequences, rows are compared within (channel, slice of time); a slice's first row takes the last time of the
+    earlier slices from a table of channels times slices.
+    """
+    sliced = messages.withColumn("__slice", time_slices(messages, slices, time))
+    lasts = sliced.groupBy(channel, "__slice").agg(F.max(time).alias("__last"))
+    before = F.max("__last").over(Window.partitionBy(channel).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    inherited = lasts.select(channel, "__slice", before.alias("__before"))
+    lag = F.lag(time).over(Window.partitionBy(channel, "__slice").orderBy(time, key))
+    joined = sliced.withColumn("__lag", lag).join(F.broadcast(inherited), [channel, "__slice"])
+    return joined.withColumn("gap", F.col(time) - F.coalesce("__lag", "__before")).drop("__slice", "__lag", "__before")
+
+
 def first_per_channel(messages: DataFrame, n: int, key: str, channel: str = "channel_id", time: str = "log_time", salts: int = 16) -> DataFrame:
     """The first n messages of each channel. Salted parts give their first n, of which the first n stay."""
     salted = messages.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)))

@@ -162,7 +162,7 @@ def w6(spark, sf_dir):
 
 @query("w7_gaps", f"with {SQL} select channel_id, message_id, log_time - lag(log_time) over (partition by channel_id order by log_time, message_id) as gap from mess")
 def w7(spark, sf_dir):
-    return I.gaps(messages(spark, sf_dir), "message_id")
+    return O.with_gap(messages(spark, sf_dir), "message_id").select("channel_id", "message_id", "gap")
 
 
 @query("w7_moving", "select user_id, event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 4 preceding and current row), 6) as moving, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as recent from events")

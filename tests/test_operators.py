@@ -45,6 +45,9 @@ def test_sequence_is_gapless_for_a_hot_channel_with_ties(spark):
     for c in (0, 1):
         mine = sorted((r.log_time, r.id, r.sequence) for r in out if r.channel_id == c)
         assert [s for _, _, s in mine] == list(range(len(mine)))
+        times = [t for t, _, _ in mine]
+        gaps = sorted((r.log_time, r.id, r.gap) for r in O.with_gap(rows, "id").collect() if r.channel_id == c)
+        assert [g for _, _, g in gaps] == [None, *(b - a for a, b in zip(times, times[1:], strict=False))]
     assert O.with_sequence(rows.limit(0), "id").count() == 0
 
 
