@@ -20,7 +20,7 @@ columns are ignored. An empty table returns no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -52,42 +52,39 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     loss: array of (start, end); attachments: array of (type, ref, tokens) in placeholder order.
     """
     parts = F.col(parts_col) if parts_col else text_parts(F.col(text_col))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(parts, F.array()).alias("parts")).alias("t"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    other = F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), lambda p: ~p["type"].eqNullSafe("text"))
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(parts, F.array()).alias("parts"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("t"))
+    is_text = lambda p: p["type"].eqNullSafe("text")
     kind = lambda p: F.when(p["type"].isin(*EXPANDED), p["type"]).otherwise("document")
     default = lambda p: F.coalesce(p["tokens"], *(F.when(kind(p) == k, F.lit(n)) for k, n in EXPANDED.items())).cast("long")
-    chats = chats.withColumn("attachments", F.transform(other, lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), default(p).alias("tokens"))))
-    # The visitor: where a turn's placeholders start, then each part in order.
-    media = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: ~p["type"].eqNullSafe("text"))))
-    chats = chats.withColumn("media", media)
-    before = F.transform("media", lambda _, i: F.aggregate(F.slice("media", F.lit(1), i), F.lit(0), lambda a, x: a + x))
-
-    def visit(t: Column, first: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            k = first + F.size(F.filter(F.slice(t["parts"], F.lit(1), i), lambda q: ~q["type"].eqNullSafe("text")))
-            return F.when(p["type"].eqNullSafe("text"), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), k.cast("string"), F.lit("|>")))
-
-        return F.array_join(F.transform(t["parts"], one), "")
-
-    chats = chats.withColumn("before", before)
-    heads = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")))
-    bodies = F.transform("turns", lambda t, i: visit(t, F.col("before")[i]))
-    flat = chats.withColumn("heads", heads).withColumn("bodies", bodies)
-    tail = F.lit(f"{END}\n")
-    flat = flat.withColumn("formatted", F.array_join(F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b, tail)), ""))
-    # One step a turn: the end of the text so far, and the spans.
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-    steps = F.transform("turns", lambda t, i: F.struct(F.length(F.col("heads")[i]).alias("head"), F.length(F.col("bodies")[i]).alias("body"), (t["role"] == "assistant").alias("loss")))
-
-    def walk(a: Column, s: Column) -> Column:
-        start = a["at"] + s["head"]
-        span = F.struct(start.alias("start"), (start + s["body"]).alias("end"))
-        return F.struct((start + s["body"] + len(END) + 1).alias("at"), F.when(s["loss"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-    flat = flat.withColumn("loss", F.aggregate(steps, zero, walk)["spans"])
-    n = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    return flat.select("conv_id", "formatted", "loss", "attachments", n.alias("n_expanded"))
+    other = F.filter("t.parts", lambda p: ~is_text(p))
+    rows = rows.withColumn("media", F.transform(other, lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), default(p).alias("tokens"))))
+    # One sort by conversation serves the numbers of the placeholders, the places of the spans and the collection.
+    order = Window.partitionBy("conv_id").orderBy("t")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("conv_id", "t", "media", F.row_number().over(order).alias("n"), F.coalesce(F.sum(F.size("media")).over(earlier), F.lit(0)).alias("first"))
+
+    def visit(p: Column, i: Column) -> Column:
+        """A part's text, or its placeholder: the turn's first number and the placeholders before it in the turn."""
+        k = F.col("first") + F.size(F.filter(F.slice("t.parts", F.lit(1), i), lambda q: ~is_text(q)))
+        return F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), k.cast("string"), F.lit("|>")))
+
+    head = F.concat(F.lit(START), escape_role(F.col("t.role")), F.lit("\n"))
+    rows = rows.select("conv_id", "n", "media", F.col("t.role").alias("role"), head.alias("head"), F.array_join(F.transform("t.parts", visit), "").alias("body"))
+    rows = rows.withColumn("piece", F.concat("head", "body", F.lit(f"{END}\n")))
+    before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = (F.col("before") + F.length("head")).cast("int")
+    span = F.when(F.col("role") == "assistant", F.struct(start.alias("start"), (start + F.length("body")).alias("end")))
+    rows = rows.withColumn("before", before).select("conv_id", F.struct("n", "piece", span.alias("span"), "media").alias("r"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    attachments = F.flatten(F.transform("r", lambda x: x["media"]))
+    return chats.select(
+        "conv_id",
+        F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("formatted"),
+        F.filter(F.transform("r", lambda x: x["span"]), lambda s: s.isNotNull()).alias("loss"),
+        attachments.alias("attachments"),
+        F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("n_expanded"),
+    )
 
 
 def read_back(formatted: Column) -> Column:
