@@ -5,9 +5,10 @@ import posixpath
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..model import table
+from ..model import SQL, table
 from ..storage import scratch
 from ..streaming import rates
+from .files import recording
 from .registry import query
 
 
@@ -27,6 +28,12 @@ def g1(spark, sf_dir):
     return rates.run_once(spark, _stream(spark, sf_dir).select("event_id", "event_type"), scratch(spark, "g1"), scratch(spark, "c"))
 
 
+@query("g1_container_stream", f"with {SQL} select topic, message_id as sequence, log_time from mess join chan using (channel_id)")
+def g1_containers(spark, sf_dir):
+    arrived = spark.readStream.format("logfold").load(recording(spark, sf_dir)).select("topic", "sequence", "log_time")
+    return rates.run_once(spark, arrived, scratch(spark, "g1c"), scratch(spark, "c"))
+
+
 def _batch(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -6,6 +6,8 @@ to Spark, which applies them exactly. ``payload=false`` leaves the data column n
 
 Paths go through pyarrow's file systems, so stores other than the local one work where pyarrow knows them.
 
+Streams: ``readStream`` takes the containers that arrive in a folder, each once.
+
 Writing: one container per partition, under a temporary name until the job commits. Columns as read; channel columns
 (topic, message_type, encoding, schema, schema_encoding, callerid) stand beside each message.
 """
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -101,8 +103,11 @@ class MessageReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Part]:
+        return self.parts_of(listing(self.path)) or [Part("", "", [], {}, {}, None, None, None)]
+
+    def parts_of(self, files: list[tuple[pafs.FileSystem, str, int]]) -> list[Part]:
         out = []
-        for system, path, size in listing(self.path):
+        for system, path, size in files:
             kind, found, connections = open_summary(system, path)
             wanted = {i for i, c in found.channels.items() if (self.topics is None or c.topic in self.topics) and (self.ids is None or i in self.ids)}
             picked = [c for c in found.chunks if self._wants(c, wanted)]
@@ -118,7 +123,7 @@ class MessageReader(DataSourceReader):
                     group = []
             if group:
                 out.append(Part(uri, kind, group, channels, connections, None, self.first, self.last))
-        return out or [Part("", "", [], {}, {}, None, None, None)]
+        return out
 
     def _wants(self, c: mcap.Chunk, wanted: set[int]) -> bool:
         if c.channels is not None and not c.channels & wanted:
@@ -153,6 +158,34 @@ class MessageReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in arrow], schema=arrow)
 
 
+class MessageStream(DataSourceStreamReader):
+    """A folder that finished containers arrive in: each batch reads those that came since the last one.
+
+    An offset is the last file taken, in order of modification time and name. Writers publish whole files (as the sink
+    here does), so a file is read once.
+    """
+
+    def __init__(self, options: dict[str, str], schema: StructType):
+        self.reader = MessageReader(options, schema)
+
+    def _arrived(self) -> list[tuple[list, tuple]]:
+        found = [([system.get_file_info(path).mtime_ns or 0, path], (system, path, size)) for system, path, size in listing(self.reader.path)]
+        return sorted(found, key=lambda f: f[0])
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"after": [-1, ""]}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        arrived = self._arrived()
+        return {"after": arrived[-1][0]} if arrived else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return self.reader.parts_of([f for key, f in self._arrived() if start["after"] < key <= end["after"]])
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(part)
+
+
 def _length(chunks: list[mcap.Chunk], c: mcap.Chunk, size: int) -> int:
     """A chunk's length where the index does not state it: up to the next one."""
     behind = [x.offset for x in chunks if x.offset > c.offset]
@@ -296,6 +329,9 @@ class Messages(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return MessageReader(dict(self.options), schema)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return MessageStream(dict(self.options), schema)
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return MessageWriter(dict(self.options), schema, overwrite)
 

@@ -154,3 +154,25 @@ def test_schema_text_references(spark):
     text = "old_msgs/msg/Header header\nmy_old_msgs/msg/Header other\nlib/msg/Box[] b\nmodule lib { module msg {\nold_msgs::msg::Header h; lib::msg::Box x;"
     got = spark.createDataFrame([(text,)], "t string").select(rules.schema(F.col("t"))).first()[0]
     assert got == "new_msgs/msg/Header header\nmy_old_msgs/msg/Header other\nown/msg/Box[] b\nmodule own { module msg {\nnew_msgs::msg::Header h; own::msg::Box x;"
+
+
+def test_stream_takes_each_file_once(spark, recorded, tmp_path):
+    import shutil
+
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    folder.mkdir()
+    names = sorted(n for n in os.listdir(recorded) if n.endswith(".mcap"))
+
+    def run():
+        stream = spark.readStream.format("logfold").load(str(folder)).select("topic", "sequence")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="100 milliseconds").start()
+        query.processAllAvailable()
+        query.stop()
+        return spark.read.parquet(out)
+
+    shutil.copy(f"{recorded}/{names[0]}", folder)
+    first = run().count()
+    assert 0 < first < 600
+    shutil.copy(f"{recorded}/{names[1]}", folder)
+    assert sorted(r.sequence for r in run().collect()) == list(range(600))
+    assert run().count() == 600
