@@ -19,9 +19,14 @@ def occurrences(text: Column, pattern: str) -> Column:
     if not pattern:
         raise ValueError("the pattern is empty")
     pieces = F.split(text, "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-    sizes = F.transform(pieces, lambda p: F.length(p).cast("long"))
-    starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, n: a + n) + i.cast("long") * len(pattern))
-    return F.slice(starts, F.lit(1), F.size(pieces) - 1)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("found"))
+
+    def step(a: Column, piece: Column) -> Column:
+        here = a["at"] + F.length(piece)
+        return F.struct((here + len(pattern)).alias("at"), F.concat(a["found"], F.array(here)).alias("found"))
+
+    # What stands behind the last occurrence is a piece too, and no place.
+    return F.aggregate(pieces, zero, step, lambda a: F.slice(a["found"], F.lit(1), F.size(a["found"]) - 1))
 
 
 def find_string(rows: DataFrame, column: str, pattern: str, context: int = 32, limit: int | None = None) -> DataFrame:
