@@ -10,6 +10,8 @@
    The fingerprints of a bucket over ``bucket_limit`` get finer keys from the bits left open, which loses no link either.
 4. A bucket returns a star per linked set, not its pairs. Stars meet in a distributed contraction.
 
+``similar_documents`` needs no fingerprints: it joins the shingle sets themselves, by prefixes, at an exact Jaccard similarity.
+
 Defined results: null and empty texts (and those of white space) have fingerprint zero and are linked like any other;
 rows that share a doc_id each return a row; a null doc_id never names a component unless all its members are null.
 An empty table returns no rows. Other columns of the input are ignored.
@@ -17,7 +19,6 @@ An empty table returns no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -240,67 +241,6 @@ def links(distinct_fps: DataFrame, radius: int, blocks: int, agree: int, bucket_
     return _compared(done.select("bucket", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")), radius)
 
 
-def _tournament(rows: DataFrame, radius: int, bucket_limit: int, tile: int) -> DataFrame:
-    """``u, v`` as ``_compared``, with buckets over the limit in rounds.
-
-    A large bucket is dealt out as tiles. Each tile finds its linked sets and sends one head of each to the next round,
-    so a group of near copies shrinks by the size of a tile a round, and every row is compared with a tile and a few
-    heads. Where a round leaves most rows as heads, pairs of tiles are compared whole.
-    """
-    found, turn = None, 0
-    while True:
-        large = _large(rows, bucket_limit)
-        if large.isEmpty():
-            last = _compared(rows, radius)
-            return last if found is None else found.unionByName(last)
-        tiles = F.ceil(F.col("count") / tile).cast("int")
-        hot = rows.join(large, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), tiles).cast("int"))
-        dealt = cut(_compared(hot.select(F.xxhash64("bucket", "own").alias("bucket"), "node", "fp", F.col("bucket").alias("origin")), radius, heads=True), "round")
-        heads = dealt.where("node is not null").select(F.col("origin").alias("bucket"), "node", "fp")
-        pairs = [_compared(rows.join(large, "bucket", "left_anti").select("bucket", "node", "fp"), radius), dealt.where("u is not null").select("u", "v")]
-        if heads.count() > 0.5 * large.agg(F.sum("count")).first()[0]:
-            other = hot.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).where("own <> other")
-            pairs.append(_compared(other.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp"), radius))
-            heads = heads.where("false")
-        for p in pairs:
-            found = p if found is None else found.unionByName(p)
-        rows, turn = heads, turn + 1
-
-
-def banded_links(distinct: DataFrame, similarity: float, bits: int, slack: float = 1.0, recall: float = 0.95, seed: int = 1, bucket_limit: int = 8192, tile: int = 1024) -> DataFrame:
-    """``u, v`` of nodes (column ``node``; ``fp``: words as bytes) whose shingle sets are about ``similarity`` alike or more.
-
-    Sets with Jaccard similarity s differ in a share arccos(2s / (1 + s)) / pi of their fingerprints' bits. Each band
-    picks some of the bits by a seed; nodes that agree on a band meet in its bucket. As many bands are taken as bring
-    a pair of exactly this similarity together with probability ``recall``. Pairs link within the expected number of
-    bits plus ``slack`` standard deviations. A band has 16 bits at least, and more as the corpus grows, so that a bucket
-    of unrelated texts stays below a few hundred.
-    """
-    n = max(2, distinct.count())
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
-    width = max(16, math.ceil(math.log2(n)) - 9)
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
-    draw = np.random.Generator(np.random.PCG64(seed))
-    picked = [np.sort(draw.choice(bits, width, replace=False)) for _ in range(bands)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                ones = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = [(ones[:, p].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) for p in picked]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([part.column(0)] * bands), pa.concat_arrays([part.column(1)] * bands)],
-                    names=["band", "key", "node", "fp"],
-                )
-
-    rows = distinct.select("node", "fp").mapInArrow(run, "band int, key long, node long, fp binary")
-    return _tournament(rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "fp"), radius, bucket_limit, tile)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, rep``: the nodes of ``edges`` (u, v) with one representative for each connected component.
 
@@ -348,19 +288,262 @@ def near_duplicates(
     return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, bits: int = 256, **options) -> DataFrame:
-    """``doc_id, row, component_id``: components of texts whose shingle sets are about ``similarity`` alike or more.
+def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """The hashes of one UTF-8 text's word shingles, each once, in order."""
+    import xxhash
+
+    words = text.translate(_FOLD).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k = words_per_shingle
+    grams = [b" ".join(words)] if len(words) <= k else list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams)))
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """``doc_id, row, node, at, set``, one row per input row. node: hash of the shingle set; at, set: a number of the row
+    and the set's hashes as bytes, both null where an earlier row of the same task has the same set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        at, seen = TaskContext.get().partitionId() << 36, set()
+        for batch in batches:
+            nodes, ats, sets = [], [], []
+            for t in batch.column(2).cast(pa.binary()):
+                own = shingles(t.as_py() or b"", words_per_shingle).tobytes()
+                node = _signed(xxhash.xxh64_intdigest(own, seed=42))
+                at += 1
+                new = node not in seen
+                seen.add(node)
+                nodes.append(node)
+                ats.append(at if new else None)
+                sets.append(own if new else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "row", "node", "at", "set"])
+
+    picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary"))
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all sets of a column one after another, and the sets' sizes."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64), np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+
 
-    Longer fingerprints than the exact search by radius takes, and candidates by bands of bits: see ``banded_links``.
-    Texts without a fingerprint of their own (equal ones) share a node, named by their least id.
+def _frequent(sets: DataFrame, sample: int, least: int = 5, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``least`` or more of a sample of the sets hold, in order, and how many hold them.
+
+    They only set the order in which shingles are taken as keys; results do not depend on it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column(0))[0].view(np.int64))], names=["token"])
+
+    share = min(1.0, sample / max(1, sets.count()))
+    some = sets.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("set")
+    counts = some.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).toArrow()
+    tokens, n = counts.column("token").to_numpy().view(np.uint64), counts.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut so that no value of it is in two cuts."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        first = int(np.searchsorted(new[0], new[0][-1]))  # the last bucket may go on in the next batch
+        if first or held and held[-1][0][-1] != new[0][0]:
+            if held and held[-1][0][-1] != new[0][0]:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            if first:
+                yield [np.concatenate(x) for x in zip(*held, [c[:first] for c in new], strict=True)]
+                held = []
+        held.append([c[first:] for c in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def prefixes(sets: DataFrame, similarity: float, sample: int = 20_000) -> DataFrame:
+    """``token, node, size, pos``: the shingles by which sets (``node, set``) of this similarity or more meet, without those of one set only.
+
+    In any order of all shingles, two sets with Jaccard similarity s share one of the first ``n - ceil(s * n) + 1`` of their
+    n shingles. The order here has shingles that are rare in a sample first, so a common passage is no key.
+    """
+    tokens, counts = _frequent(sets, sample)
+    shared = sets.sparkSession.sparkContext.broadcast((tokens, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                hashes, sizes = _unpacked(part.column(1))
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                weight = np.zeros(len(hashes), np.int64)
+                if len(tokens):
+                    where = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+                    weight = np.where(tokens[where] == hashes, counts[where], 0)
+                order = np.lexsort((hashes, weight, of))
+                pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                ahead = pos < (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)[of]
+                nodes = part.column(0).to_numpy()
+                columns = [hashes[order][ahead].view(np.int64), nodes[of[ahead]], sizes[of[ahead]].astype(np.int32), pos[ahead].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "pos"])
+
+    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_buckets(batches):
+            token, node = columns[:2]
+            new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # a set may come from several tasks
+            columns = [c[new] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
+            many = np.append(same, False) | np.append(False, same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["token", "node", "size", "pos"])
+
+    kind = "token long, node long, size int, pos int"
+    ordered = sets.select("node", "set").mapInArrow(run, kind).repartition("token").sortWithinPartitions("token", "node")
+    return ordered.mapInArrow(shared_only, kind)
+
+
+def _fits(a, b, i, j, similarity: float, least):
+    """Whether sets of sizes a and b whose first common shingle is their i-th and j-th can be this similar."""
+    return least(a - i, b - j) * (1 + similarity) >= (a + b) * similarity - 1e-6
+
+
+def _cross_pairs(rows: DataFrame, similarity: float, bucket_limit: int, tile: int) -> DataFrame:
+    """``u, v``: all pairs of nodes with a common token and different ``rep`` that can be similar enough. Tokens of more rows
+    than the limit are dealt out as pairs of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, size, pos, rep in _whole_buckets(batches):
+            ends = np.searchsorted(bucket, bucket, "right")
+            widest = int((ends - np.arange(len(bucket))).max())
+            step = max(1, min(max(64, widest), (1 << 20) // (widest + 64)))  # step by step and a bucket at most
+            for at in range(0, len(bucket), step):
+                i = np.arange(at, min(at + step, len(bucket)))
+                j = np.arange(at + 1, int(ends[i].max()))
+                ok = (j[None, :] > i[:, None]) & (j[None, :] < ends[i][:, None]) & (rep[i][:, None] != rep[j][None, :])
+                ok &= _fits(size[i][:, None].astype(np.int64), size[j][None, :].astype(np.int64), pos[i][:, None], pos[j][None, :], similarity, np.minimum)
+                x, y = np.nonzero(ok)
+                if len(x):
+                    a, b = node[i[x]], node[j[y]]
+                    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    active = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token", "n")
+    tiles = F.when(F.col("n") > bucket_limit, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
+    dealt = rows.join(active, "token").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("tiles")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: (x != F.col("own")) | (F.col("tiles") == 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "size", "pos", "rep")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
+
+
+def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """``u, v``: of each token, one node with the others of a different ``rep`` that can be as similar."""
+    head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "rep")).alias("c")
+    heads = rows.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), head).where("lo < hi").select("token", "c")
+    met = rows.join(heads, "token").where(F.col("rep") != F.col("c.rep"))
+    met = met.where(_fits(F.col("size"), F.col("c.size"), F.col("pos"), F.col("c.pos"), similarity, F.least))
+    return met.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+
+
+def marks(sets: DataFrame) -> DataFrame:
+    """``node, size, bits``: for each set (``node, set``) which of 2048 values the highest bits of its hashes take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sizes = [], []
+            for raw in batch.column(1).to_pylist():
+                own = np.frombuffer(raw, np.uint64)
+                taken = np.zeros(2048, np.uint8)
+                taken[own >> np.uint64(53)] = 1
+                out.append(np.packbits(taken).tobytes())
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["node", "size", "bits"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, size int, bits binary")
+
+
+def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` that ``marks`` leave open. A value that only one set takes stands for a hash that only it has,
+    so no pair of this similarity goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, 32) for k in (3, 5))
+            a, b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            both = np.minimum(a - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), b - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep = both * (1 + similarity) >= (a + b) * similarity - 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+    one = pairs.join(marked.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("bits").alias("x")), "u")
+    two = one.join(marked.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("bits").alias("y")), "v")
+    return two.select("u", "v", "a", "x", "b", "y").mapInArrow(run, "u long, v long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets (``node, set``) have this Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
+    sets = sets.join(nodes, "node", "left_semi")
+    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
+    two = one.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 2) -> DataFrame:
+    """``node, rep``: the connected components of all pairs of sets at this Jaccard similarity or more.
+
+    ``rows`` are those of ``prefixes``, ``marked`` those of ``marks``. A few rounds compare one node of each token with the others, which brings groups
+    of near copies together; then all pairs that meet and are not yet connected are compared. So no link is lost, and a
+    group takes no square of pairs.
+    """
+    edges, found = None, None
+    for turn in range(rounds + 1):
+        own = rows.withColumn("rep", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
+        pairs = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, similarity, bucket_limit, tile), "pairs")
+        pairs = cut(possible(pairs, marked, similarity), "possible")
+        if found is not None and pairs.isEmpty():
+            continue
+        new = cut(confirmed(pairs, sets, similarity), "confirmed")
+        if found is not None and new.isEmpty():
+            continue
+        edges = new if edges is None else edges.unionByName(new)
+        found = components(edges)
+    return found
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """``doc_id, row, component_id``: components of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Exact: every such pair meets in a token of ``prefixes`` and is confirmed by its whole sets. Texts of equal sets share a
+    node. A component is named by its least id.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, words_per_shingle, bits // 64), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct")
-    reached = components(banded_links(distinct, similarity, bits, **options))
-    ids = reached.groupBy("rep").agg(F.min("node").alias("component_id"))
-    of = reached.join(ids, "rep").select("node", "component_id")
-    named = distinct.join(of, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "row", "component_id")
+    marked = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
+    distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("at").alias("at")), "distinct")
+    rows = cut(prefixes(marked.where("at is not null"), similarity), "prefixes")
+    met = cut(distinct.join(rows.select("node").distinct(), "node", "left_semi").select("at"), "met")
+    sets = marked.where("at is not null").select("node", "at", "set").join(met, "at", "left_semi").select("node", "set")
+    named = cut(similar_components(rows, cut(marks(sets), "marks"), sets, similarity, **options).join(distinct.select("node", "least"), "node"), "reached")
+    ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
+    of = named.join(ids, "rep").select("node", "component_id")
+    ids = distinct.join(of, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(ids, "node").select("doc_id", "row", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

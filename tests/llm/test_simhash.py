@@ -135,6 +135,36 @@ def test_similar_documents_recall_and_precision(spark, empty):
     assert S.similar_documents(empty).count() == 0
 
 
+def altered(seed, n_words, n_edits):
+    from .conftest import prose
+
+    base = prose(seed, n_words)
+    return base, edited(base, np.random.default_rng(seed), n_edits)
+
+
+def groups(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in S.similar_documents(docs, **options).collect()}
+
+
+def test_every_pair_just_above_the_similarity_is_linked(spark):
+    """Recall between 0.8 and 0.85 alone, and at exactly 0.8."""
+    rows, near = [], []
+    for i in range(300):
+        base, copy = altered(20_000 + i, 250, 5 + i % 3)
+        rows += [(2 * i, base), (2 * i + 1, copy)]
+        if 0.8 <= jaccard(base, copy) < 0.85:
+            near.append(2 * i)
+    # 84 words have 80 shingles; 20 more at the end make 80 of 100.
+    for i in range(300, 340):
+        base = " ".join(f"w{i}x{j}" for j in range(104))
+        rows += [(2 * i, base), (2 * i + 1, " ".join(base.split()[:84]))]
+        assert jaccard(rows[-2][1], rows[-1][1]) == 0.8
+        near.append(2 * i)
+    found = groups(spark, rows)
+    assert len(near) > 100 and [i for i in near if found[i] != found[i + 1]] == []
+
+
 def test_blocks_must_cover_the_radius(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([], "fp long"), 3, 4, 2)
