@@ -165,6 +165,23 @@ def test_every_pair_just_above_the_similarity_is_linked(spark):
     assert len(near) > 100 and [i for i in near if found[i] != found[i + 1]] == []
 
 
+def test_large_groups_lose_no_link(spark):
+    """Documents that are near one member of a large group of near copies only, with all sizes of buckets."""
+    from .conftest import prose
+
+    rng = np.random.default_rng(11)
+    base = prose(77, 400)
+    members = [edited(base, rng, 2) for _ in range(150)]
+    apart = [edited(members[i], rng, 7) for i in range(60)]
+    rows = list(enumerate(members + apart))
+    near = np.array([[jaccard(a, b) >= 0.8 for b in members] for a in apart])
+    some = [150 + i for i in range(60) if 0 < near[i].sum() <= 2]
+    assert len(some) > 10
+    for options in ({"bucket_limit": 16, "tile": 8, "rounds": 0},):
+        found = groups(spark, rows, **options)
+        assert {found[i] for i in range(150)} == {0} and [i for i in some if found[i] != 0] == []
+
+
 def test_blocks_must_cover_the_radius(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([], "fp long"), 3, 4, 2)
