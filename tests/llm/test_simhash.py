@@ -182,6 +182,18 @@ def test_large_groups_lose_no_link(spark):
         assert {found[i] for i in range(150)} == {0} and [i for i in some if found[i] != 0] == []
 
 
+def test_documents_below_the_similarity_all_stay(spark):
+    """Texts of 0.6 to 0.8 alike are no duplicates; components are those of the exact pairs."""
+    rows, below = [], []
+    for i in range(300):
+        base, copy = altered(30_000 + i, 250, 6 + i % 8)
+        rows += [(2 * i, base), (2 * i + 1, copy)]
+        if 0.6 <= jaccard(base, copy) < 0.8:
+            below.append(2 * i)
+    found = groups(spark, rows)
+    assert len(below) > 100 and [i for i in below if found[i] == found[i + 1]] == []
+
+
 def test_blocks_must_cover_the_radius(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([], "fp long"), 3, 4, 2)
