@@ -1,14 +1,12 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The lattice has a node at each character boundary and an edge for each piece. An edge is admissible if the model's
-merges, run on it and on the piece before it, give back exactly these two; by the locality of merges a path of
-admissible edges is the model's own segmentation of a prefix, so each node keeps one back pointer. Only the nodes
-within the longest piece's length are alive. Whenever all their back pointers lead to one boundary, the ids before it
-are committed and the window moves on; memory does not grow with the text.
-
-Paths always meet between two characters that stand side by side in no piece: in front of a run of space marks, around
-characters without a piece, mostly around punctuation. The search starts anew there and remembers the ids of frequent
-stretches between two such boundaries. An automaton of all pieces lists the edges of a stretch.
+The lattice has a node at each character boundary and an edge for each piece; an automaton of all pieces lists the
+edges while the text streams by in blocks. An edge is admissible if the model's merges, run on it and on the piece
+before it, give back exactly these two; by the locality of merges a path of admissible edges is the model's own
+segmentation of a prefix, so each node keeps one back pointer. The edges that are still to come start within the longest
+piece's length of the last node, so only the paths that end there survive. Whenever they all lead through one boundary,
+the ids before it are committed and the window starts there anew: it holds a block and the tail of the one before,
+whatever the length of the text.
 
 Defined results: a null text has null ids; an empty one no ids. Decoding gives the text back, except that a text's own
 space marks (U+2581) come back as spaces. Rows that repeat are encoded each. Other columns are ignored. An empty table
@@ -17,10 +15,11 @@ returns no rows.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,12 @@ from .common import schema_with
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
-#: Stretches remembered by a Python worker, and their longest length in characters.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
+#: Characters that the search takes in at a time.
+BLOCK = 1024
+#: Neighbouring pieces whose admissibility a Python worker remembers.
+REMEMBERED = 400_000
+#: Codes of back pointers that are no pieces: none yet, the start, and from there on characters without a piece.
+_NONE, _START = -1, 1 << 19
 
 
 def load(path: str) -> list[tuple[str, float, int]]:
@@ -52,6 +55,8 @@ class Codec:
     """Encodes and decodes with the pieces of a model."""
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
+        import ahocorasick
+
         self.score = {p: s for p, s, kind in pieces if kind == _NORMAL}
         self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == _NORMAL}
         self.byte = [0] * 256
@@ -61,26 +66,19 @@ class Codec:
                 self.byte[int(p[3:5], 16)] = i
             self.bytes.append(bytes([int(p[3:5], 16)]) if kind == _BYTE else p.encode() if kind == _NORMAL else " ⁇ ".encode() if kind == _UNKNOWN else b"")
         self.longest = max(map(len, self.id))
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece holds a space mark behind another character")
-        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        used = set(chain.from_iterable(self.id))
-        alone = "".join(re.escape(chr(c)) for c in range(1, 32) if chr(c) not in used)
-        self.stretch = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]")
-        self.whole = {p for p in self.id if self.merge(p) == [p]}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.known = _Known(self)
-        self.units: dict[str, bytes] = {}
-        import ahocorasick
-
+        self.name = [p for p, _, _ in pieces]
+        #: Pieces that were found to stand, or not to stand, in front of each piece.
+        self.after: list[set[int]] = [set() for _ in pieces]
+        self.never: list[set[int]] = [set() for _ in pieces]
+        self.remembered = 0
         self.edges = ahocorasick.Automaton()
-        for p in self.whole:
-            self.edges.add_word(p, (len(p), self.id[p]))
+        for p in self.id:
+            if self.merge(p) == [p]:
+                i = self.id[p]
+                self.edges.add_word(p, (len(p), i, self.after[i], self.never[i]))
         self.edges.make_automaton()
-        self.name = [p for p, _, _ in pieces]
-        self.code = [np.int32(i).tobytes() for i in range(len(pieces))]
-        self.size = [len(p) for p, _, _ in pieces]
-        self.near: dict[int, bool] = {}
+        single = "".join(re.escape(p) for p in self.id if len(p) == 1)
+        self.strange = re.compile(f"[^{single}]")
 
     def merge(self, text: str) -> list[str]:
         """The model's merges by definition: the best scoring pair of neighbours first, the leftmost of equals."""
@@ -109,147 +107,117 @@ class Codec:
                 offer(before[a], a)
         return [p for p in part if p]
 
-    def fit(self, left: str, right: str) -> bool:
-        """Whether the merges keep the boundary between two pieces."""
-        if left not in self.id or right not in self.id:  # characters without a piece never merge
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the merges keep the boundary between two pieces. Characters without a piece never merge."""
+        if left >= _START:
             return True
-        key = (left, right)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > REMEMBERED // 2:
-                self.fits.clear()
-            known = self.fits[key] = self.merge(left + right) == [left, right]
-        return known
-
-    def search(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces of a stream of characters between two sure boundaries, committed as early as the paths allow."""
-        window, back = "", [""]  # the characters since the last commit; back[i]: the piece that ends at node i
-        whole, fits, longest = self.whole, self.fits, self.longest
-        for c in chars:
-            window += c
-            end = len(window)
-            for start in range(end - longest if end > longest else 0, end):
-                piece = window[start:]
-                if piece in whole or start == end - 1:
-                    left = back[start]
-                    if left == "" or fits.get((left, piece)) or self.fit(left, piece):
-                        back.append(piece)
-                        break
+        if self.remembered >= REMEMBERED:
+            self.remembered = 0
+            for known in (*self.after, *self.never):
+                known.clear()
+        self.remembered += 1
+        found = self.merge(self.name[left] + self.name[right]) == [self.name[left], self.name[right]]
+        (self.after if found else self.never)[right].add(left)
+        return found
+
+    def search(self, blocks: Iterable[str]) -> Iterator[list[int]]:
+        """Back pointers along the path of a stream of blocks of characters, committed as early as the surviving paths allow.
+
+        A pointer is a piece's id, or ``_START + 1`` and the code point of a character without a piece.
+        """
+        # back[i] is the piece that ends with the window's i-th character; a character in front of all stands for the start.
+        fits, strange, reach = self.fits, self.strange, self.longest
+        window, back, done = "\0", [_START], 0
+        for block in blocks:
+            first = len(window)
+            window += block
+            back += [_NONE] * len(block)
+            for m in strange.finditer(block):
+                back[first + m.start()] = _START + 1 + ord(m.group())
+            for end, (length, right, after, never) in self.edges.iter(window):
+                if back[end] < 0:
+                    left = back[end - length]
+                    if left in after or left not in never and fits(left, right):
+                        back[end] = right
+            last = len(back) - 1
+            # Edges to come start behind these characters; what all their paths share is settled.
+            alive = set(range(max(done, last - reach + 1), last + 1))
+            while len(alive) > 1:
+                node = max(alive)
+                alive.discard(node)
+                alive.add(max(done, node - self.size(back[node])))
+            meet = alive.pop()
+            if meet > done:
+                yield self.path(back, done, meet)
+            # The next pieces start within reach; the character before the first of them tells its left neighbour.
+            start = max(0, min(meet, last - reach))
+            window, back, done = window[start:], back[start:], meet - start
+        yield self.path(back, done, len(back) - 1)
+
+    def size(self, pointer: int) -> int:
+        return 1 if pointer >= _START else len(self.name[pointer])
+
+    def path(self, back: list[int], done: int, node: int) -> list[int]:
+        out = []
+        while node > done:
+            out.append(back[node])
+            node -= self.size(back[node])
+        return out[::-1]
+
+    def stream(self, text: str) -> Iterator[str]:
+        """The characters that the model sees, block by block."""
+        yield MARK
+        for at in range(0, len(text), BLOCK):
+            yield text[at : at + BLOCK].replace(" ", MARK)
+
+    def ids(self, blocks: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a stream, in pieces as they are committed."""
+        for found in self.search(blocks):
+            if found and max(found) >= _START:
+                yield [i for p in found for i in ([p] if p < _START else [self.byte[b] for b in chr(p - _START - 1).encode()])]
             else:
-                raise ValueError("no admissible path")
-            if end >= 8 * longest:
-                alive = set(range(end - longest + 1, end + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(last - len(back[last]) if last else 0)
-                meet = alive.pop()
-                if meet:
-                    yield from _path(back, meet)
-                    # The piece in front of the new window still decides which pieces may follow it.
-                    window, back = window[meet:], [back[meet], *back[meet + 1 :]]
-        yield from _path(back, len(window))
-
-    def unit(self, text: str) -> bytes:
-        """Ids (as int32 bytes) of a short stretch without a sure boundary: the same search, over the automaton's edges."""
-        if len(text) == 1 or len(text) > 8 * self.longest:
-            return b"".join(self.code[i] for i in self.ids_of(self.search(text)))
-        back = [-1] * (len(text) + 1)
-        size, near = self.size, self.near
-        for end, (length, right) in self.edges.iter(text):
-            if back[end + 1] < 0:
-                left = back[end + 1 - length]
-                if end + 1 == length or near.get(left << 20 | right) or self.fit_ids(left, right):
-                    back[end + 1] = right
-        at, out = len(text), []
-        while at:
-            out.append(self.code[back[at]])
-            at -= size[back[at]]
-        return b"".join(out[::-1])
-
-    def fit_ids(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        if (known := self.near.get(key)) is None:
-            if len(self.near) > REMEMBERED:
-                self.near.clear()
-            known = self.near[key] = self.merge(self.name[left] + self.name[right]) == [self.name[left], self.name[right]]
-        return known
-
-    def stretch_ids(self, text: str) -> bytes:
-        """Ids of a stretch, parted at its sure boundaries."""
-        pairs, units, out, at = self.pairs, self.units, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
-        found = []
-        for u in out:
-            if (ids := units.get(u)) is None:
-                ids = self.unit(u)
-                if len(u) <= REMEMBERED_LENGTH:
-                    if len(units) >= REMEMBERED // 3:
-                        units.clear()
-                    units[u] = ids
-            found.append(ids)
-        return b"".join(found)
-
-    def ids_of(self, pieces: Iterable[str]) -> Iterator[int]:
-        for p in pieces:
-            if (i := self.id.get(p)) is not None:
-                yield i
-            else:
-                yield from (self.byte[b] for b in p.encode())
+                yield found
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        stretches = self.stretch.findall(MARK + text.replace(" ", MARK))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, stretches)), np.int32)
+    def encode(self, text: str) -> array:
+        out = array("i")
+        if text:
+            for some in self.ids(self.stream(text)):
+                out.extend(some)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
-def _path(back: list[str], end: int) -> list[str]:
-    out = []
-    while end:
-        out.append(back[end])
-        end -= len(back[end])
-    return out[::-1]
-
-
-class _Known(dict):
-    """Ids of stretches (as int32 bytes), remembered up to a bound."""
+_CODECS: dict[bytes, Codec] = {}
 
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.codec.stretch_ids(stretch)
-        if len(stretch) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
-        return ids
+def _codec(shared) -> Codec:
+    """One codec a Python worker and model, by the model's digest."""
+    digest, pieces = shared.value
+    if digest not in _CODECS:
+        _CODECS.clear()
+        _CODECS[digest] = Codec(pieces)
+    return _CODECS[digest]
 
 
-_CODECS: dict[int, Codec] = {}
+def _share(docs: DataFrame, model_path: str):
+    """The broadcast model: its digest and one file of pieces, whatever the corpus."""
+    pieces = load(model_path)
+    return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(pieces).encode()).digest(), pieces))
 
 
-def _codec(shared) -> Codec:
-    """One codec a Python worker and model."""
-    pieces = shared.value
-    key = hash(tuple(pieces[:: max(1, len(pieces) // 64)])) ^ len(pieces)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(pieces)
-    return _CODECS[key]
+def _lists(ids: list[array | None]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x or ()) for x in ids)])
+    whole = np.frombuffer(b"".join(x for x in ids if x), np.int32)
+    offsets = pa.array([None if k < len(ids) and ids[k] is None else int(e) for k, e in enumerate(ends)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(whole, pa.int32()))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` of every row. The broadcast model is one file of pieces, whatever the corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
+    """``doc_id, ids`` of every row."""
+    shared = _share(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -257,7 +225,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [None if t is None else codec.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["doc_id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, schema_with(picked.select("doc_id"), "ids array<int>"))
@@ -265,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id, ids, text``: the texts of lists of ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(model_path))
+    shared = _share(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -280,7 +248,5 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 
 def default_model() -> str:
-    """The public 32k model where it is installed. Any other path can be given."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+    """Where the public 32k model stands on the driver. Any other path can be given."""
+    return "/opt/tokenizers/piece_bpe_32k.model"

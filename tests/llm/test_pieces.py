@@ -1,11 +1,13 @@
+import os
 import random
+import tracemalloc
 
 import pytest
 
 from logfold.llm import pieces as P
 
 sp = pytest.importorskip("sentencepiece")
-pytest.importorskip("public_tokenizers")
+pytestmark = pytest.mark.skipif(not os.path.exists(P.default_model()), reason="no model file")
 
 
 @pytest.fixture(scope="module")
@@ -33,19 +35,49 @@ def test_streams_without_boundaries(codec, model, text):
     assert codec.encode(text).tolist() == model.encode(text)
 
 
-def test_window_is_bounded(codec):
-    """Pieces come out long before the stream ends."""
-    taken = 0
+@pytest.mark.parametrize("unit", ["internationalisation", "a", "=", "漢字", "the cat sat ", "x🙂"])
+def test_memory_does_not_grow_with_the_stream(codec, unit):
+    """Ids are committed while the stream goes on, and the search holds no more after many blocks than after few."""
 
-    def stream():
-        nonlocal taken
-        for c in "internationalisation" * 200:
-            taken += 1
-            yield c
+    def stream(n):
+        for _ in range(n):
+            yield (unit * (P.BLOCK // len(unit) + 1))[: P.BLOCK]
 
-    out = codec.search(stream())
-    next(out)
-    assert taken <= 9 * codec.longest
+    def peak(n):
+        tracemalloc.start()
+        total = sum(map(len, codec.ids(stream(n))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return total, most
+
+    peak(20)  # the remembered neighbours
+    few, many = peak(20), peak(600)
+    assert many[0] > 25 * few[0] and many[1] < 2 * few[1] + 100_000
+
+
+def test_blocks_do_not_matter(codec, model):
+    """Any cut of the text into blocks gives the ids of the whole."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text = P.MARK + "".join(rng.choice("abcdefthein ▁.é漢🙂") for _ in range(rng.randint(1, 200))).replace(" ", P.MARK)
+        cuts = sorted({0, len(text), *(rng.randint(0, len(text)) for _ in range(rng.randint(0, 30)))})
+        some = [i for part in codec.ids(text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)) for i in part]
+        assert some == model.encode(text[1:].replace(P.MARK, " "))
+
+
+def test_long_rows(codec, model):
+    for seed in range(3):
+        rng = random.Random(seed)
+        text = " ".join("".join(rng.choice("abcdefthein") for _ in range(rng.randint(1, 3000))) for _ in range(200))
+        assert codec.encode(text).tolist() == model.encode(text) and codec.decode(codec.encode(text)) == text
+
+
+def test_models_are_told_apart_by_content(spark):
+    pieces = P.load(P.default_model())
+    other = [(p, s, k) if i != 30001 else (p + "q", s, k) for i, (p, s, k) in enumerate(pieces)]
+    share = spark.sparkContext.broadcast
+    one, two = P._codec(share((b"1", pieces))), P._codec(share((b"2", other)))
+    assert one.id != two.id
 
 
 def test_rows(spark, odd, odd_rows, empty, model):
