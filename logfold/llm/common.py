@@ -62,11 +62,26 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def own_column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def record(df: DataFrame) -> Column:
+    """A whole row as one struct ``record``, so that no name of the input meets a name of the operator."""
+    return F.struct(*(own_column(c) for c in df.columns)).alias("record")
+
+
+def columns(df: DataFrame) -> list[tuple[str, Column]]:
+    """The names of ``df`` and its columns as they stand in ``record``."""
+    return [(c, F.col("record").getField(c).alias(c)) for c in df.columns]
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``gone`` (doc_id, row) names. Always a merge join, as ``gone`` grows with ``docs``."""
-    away = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    own = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    return own.join(away.hint("merge"), (own["__key"] == away["__row"]) & own[id_col].eqNullSafe(away["__id"]), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    away = gone.select(F.col("doc_id").alias("of"), "row").distinct()
+    own = docs.select(record(docs), F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    return own.join(away.hint("merge"), (own["key"] == away["row"]) & own["id"].eqNullSafe(away["of"]), "left_anti").select(*(v for _, v in columns(docs)))
 
 
 def schema_with(df: DataFrame, more: str) -> T.StructType:

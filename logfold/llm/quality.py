@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, columns, cut, record
 
 #: Frequent function words of each language.
 COMMON = {
@@ -55,9 +55,8 @@ if(size(w) < 4, 0, transform(array(transform(sequence(0, size(w) - 3), i -> xxha
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", records: bool = False) -> DataFrame:
     """Per row: (the whole row as record,) doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms chars and common."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    record = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record")] if records else []
     split = docs.select(
-        *record,
+        *([record(docs)] if records else []),
         F.col(id_col).alias("doc_id"),
         F.col(lang_col).alias("lang"),
         text.alias("text"),
@@ -140,4 +139,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return _verdicts(cut(counts(docs, id_col, text_col, lang_col, records=True), "counts")).where("kept").select("record.*")
+    return _verdicts(cut(counts(docs, id_col, text_col, lang_col, records=True), "counts")).where("kept").select(*(v for _, v in columns(docs)))

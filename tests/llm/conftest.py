@@ -1,7 +1,7 @@
 import pytest
 
 #: Names that the operators use inside; as columns of an input they must not disturb anything.
-CLASHING = ("row", "fp", "rid", "record", "shard", "slot", "cell", "bucket", "size", "digest", "w", "l", "lang2", "kept", "gone", "lines", "n_words", "__x", "component_id", "node", "rep", "score", "ids")
+CLASHING = ("row", "fp", "rid", "record", "shard", "slot", "cell", "bucket", "size", "digest", "w", "l", "lang2", "kept", "gone", "lines", "n_words", "__x", "component_id", "node", "rep", "score", "ids", "id", "of", "key", "at", "n_lines", "n_deleted", "a.b", "a`b", "__key", "__id", "__rid", "__row", "__gone", "__worded", "left", "right", "item_id", "turn", "found")
 
 LONG = " ".join(f"word{i % 997}x{i}" for i in range(30000))
 PROSE = "The committee of the town said that it was to be at the house for the day and with it the rest of the year. " * 1
@@ -42,7 +42,7 @@ def odd(spark, odd_rows):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
+    return docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)), F.create_map(F.lit("k"), F.col("n_chars")).alias("map"))
 
 
 @pytest.fixture(scope="session")

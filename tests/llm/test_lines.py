@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from logfold.llm import linededup as L
 
 
@@ -48,11 +50,40 @@ def test_random_documents(spark):
 
 
 def test_odd_rows(spark, odd, odd_rows, empty):
-    rows = [r[:2] for r in odd_rows if len(r[1] or "") < 10000]
-    check(odd.where("text is null or length(text) < 10000"), rows, 200)
-    out = L.dedup_lines(odd)
-    assert out.columns == [*odd.columns, "n_lines", "n_deleted"] and out.count() == len(odd_rows)
-    assert L.dedup_lines(empty).count() == 0
+    check(odd, [r[:2] for r in odd_rows], 200)
+    out, counts = L.dedup_lines(odd), ("n_lines", "n_deleted")
+    assert out.columns == [*(c for c in odd.columns if c not in counts), *counts] and out.count() == len(odd_rows)
+    others = [c for c in odd.columns if c not in ("text", *counts)]
+    assert same(out, others) == same(odd, others)
+    stay = L.keep(odd)
+    assert stay.columns == odd.columns
+    assert same(stay, counts) == same(odd, counts)[: stay.count()]
+    assert L.dedup_lines(empty).count() == 0 and L.keep(empty).columns == empty.columns
+
+
+def same(df, names):
+    return sorted(str([r[c] for c in names]) for r in df.collect())
+
+
+def test_long_texts(spark):
+    """Thousands of lines, lines of many thousand bytes, and runs between them."""
+    lines = [f"line {i % 1500} of a long text" for i in range(3000)]
+    rows = [(1, "\n".join(lines)), (2, "x" * 100_000 + "\n" + "y" * 300), (3, "y" * 300 + "\n" + "\n".join(lines[700:720])), (4, "x" * 100_000)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 200)
+
+
+def test_fingerprints_decide(spark, monkeypatch):
+    """A document has fewer fingerprints than lines, equal runs share one, and without shared ones nothing is deleted."""
+    rng = random.Random(5)
+    passage = [f"line {rng.random()} of a passage" for _ in range(12)]
+    rows = [(i, "\n".join([*(f"own {i} {rng.random()}" for _ in range(40)), *passage, f"end {i}"])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    per = [(len(r.H), {(m.fp, m.at) for m in r.M if m}) for r in L.fingerprints(docs).collect()]
+    assert all(0 < len(places) < lines / 2 for lines, places in per)
+    assert set.intersection(*({fp for fp, _ in places} for _, places in per))
+    assert {r.n_deleted for r in L.dedup_lines(docs).collect()} == {0, len(passage)}
+    monkeypatch.setattr(L, "shared_places", lambda lines: lines.select("rid", F.array(F.lit(1)).alias("shared")).where("false"))
+    assert {r.n_deleted for r in L.dedup_lines(docs).collect()} == {0}
 
 
 def test_passage_inside_documents(spark):
