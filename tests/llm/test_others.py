@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from logfold.llm import chat, licenses, queries, shards, toxicity, urls
 
@@ -13,7 +16,7 @@ from .conftest import prose
 
 
 def test_shards(spark, odd, odd_rows, empty):
-    for options in ({}, {"bucket_bytes": 300, "n_shards": 3}, {"n_shards": 1}):
+    for options in ({}, {"bucket_bytes": 6000, "n_shards": 3}, {"n_shards": 1}):
         out = shards.shuffled(odd, **options).collect()
         n = options.get("n_shards", 24)
         assert len(out) == len(odd_rows)
@@ -40,9 +43,68 @@ def test_growing_by_one_shard(spark):
 
 def test_shards_written(spark, tmp_path):
     rows = spark.range(200).selectExpr("id as doc_id", "cast(id as string) as text")
-    shards.write(shards.shuffled(rows, n_shards=4), str(tmp_path / "out"))
+    shards.write(rows, str(tmp_path / "out"), n_shards=4, bucket_bytes=200)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    for f in back.select(F.input_file_name()).distinct().collect():  # files hold buckets one after the other, in order
+        places = [(r.shard, r.bucket, r.place) for r in spark.read.option("basePath", str(tmp_path / "out")).parquet(f[0]).collect()]
+        assert places == sorted(places)
+
+
+def brute_shards(rows, n_shards, seed, bucket_bytes):
+    """Shard and slot of (doc_id, text), in plain Python."""
+    import numpy as np
+    import xxhash
+
+    def h(data, start):
+        x = xxhash.xxh64_intdigest(data, start % 2**64)
+        return x - 2**64 if x >> 63 else x
+
+    def shard(i, n):
+        return max((h(struct.pack("<i", j), h(struct.pack("<i", seed), h(struct.pack("<q", i), 42))), j) for j in range(n))[1]
+
+    digest = {r: h(struct.pack("<i", seed), h(r[1].encode(), h(struct.pack("<q", r[0]), 42))) for r in rows}
+    members = {}
+    for r in rows:
+        members.setdefault(shard(r[0], n_shards), []).append(r)
+    out = {}
+    for k, own in members.items():
+        n = max(1, -(-sum(len(t.encode()) + 8 for _, t in own) // bucket_bytes))
+        base = 0
+        for b in range(n):
+            some = sorted((r for r in own if digest[r] % n == b), key=digest.get)
+            order = np.arange(len(some))
+            np.random.Generator(np.random.PCG64([seed, k, b])).shuffle(order)
+            out |= {some[j]: (k, base + i, shard(some[j][0], n_shards + 1)) for i, j in enumerate(order)}
+            base += len(some)
+    return out
+
+
+@pytest.mark.parametrize("options", [(24, 20, 32 << 20), (5, 3, 500), (1, 1, 100)])
+def test_shards_against_brute_force(spark, options):
+    rows = [(i * 7919 - 900, prose(i, i % 9)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = shards.shuffled(docs.repartition(5), n_shards=options[0], seed=options[1], bucket_bytes=options[2]).collect()
+    assert {(r.record.doc_id, r.record.text): (r.shard, r.slot, r.grown_shard) for r in found} == brute_shards(rows, *options) and len(found) == 400
+
+
+def test_shards_query(spark, sf_dir):
+    """The whole table, against the plain version."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = queries.op1_shards(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in found) == sorted((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    where = {i: s for (i, _), s in brute_shards([(r[0], "") for r in rows], 24, 20, 1 << 40).items()}
+    assert all((r.shard, r.grown_shard) == where[r.doc_id][::2] and r.law == "key" for r in found)
+    for k in range(24):
+        assert sorted(r.slot for r in found if r.shard == k) == list(range(sum(r.shard == k for r in found)))
+
+
+def test_repeated_records_are_spread(spark):
+    """Rows that repeat in all columns fill no bucket of their own."""
+    docs = spark.range(600, numPartitions=4).selectExpr("7L as doc_id", "'the same text' as text")
+    out = shards.shuffled(docs, n_shards=2, bucket_bytes=1000).collect()
+    sizes = Counter(r.bucket for r in out)
+    assert sorted(r.slot for r in out) == list(range(600)) and max(sizes.values()) < 120
 
 
 def toxic_corpus(n=900):
