@@ -2,12 +2,13 @@
 
 The rules' keys (host and the beginning of a path) are hashed to 64 bits and stored sorted in a file, with the full
 strings behind them. Each Python worker memory-maps the file, hashes the keys under which a url could be listed (its
-host and each parent domain, with its path cut at each length that occurs among the rules), probes them all with one
+host and its parent domains with as many labels as a rule's host, with its path cut at each length among the rules), probes them all with one
 vectorised binary search, and confirms every hit against the stored string. The longest confirmed rule decides.
 
 Defined results: null urls and those without ``://`` have an empty host and path and fit no rule; rows that repeat are
 judged each; without a fitting rule the default verdict holds; an empty rule list fits nothing. Other columns are
-ignored. An empty table returns no rows.
+ignored. An empty table returns no rows. A url's keys are as many as the rules have lengths and numbers of labels, so
+long hosts and paths take no more.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def build(rules: list[tuple[str, str]]) -> bytes:
-    """A file of ``rules`` (verdict, ``host/path``): count, lengths of path beginnings, digests, offsets, verdicts, strings."""
+    """A file of ``rules`` (verdict, ``host/path``): counts, lengths of path beginnings, numbers of labels, digests, offsets, verdicts, strings."""
     import xxhash
 
     keyed = sorted({(xxhash.xxh64_intdigest(rule.encode()), rule.encode(), verdict == "block") for verdict, rule in rules})
     lengths = sorted({len(rule) - rule.index(b"/") for _, rule, _ in keyed})
     ends = np.cumsum([0, *(len(rule) for _, rule, _ in keyed)])
-    numbers = [[len(keyed), len(lengths)], lengths, [k for k, _, _ in keyed], ends, [b for _, _, b in keyed]]
+    depths = sorted({rule.split(b"/")[0].count(b".") + 1 for _, rule, _ in keyed})
+    numbers = [[len(keyed), len(lengths), len(depths)], lengths, depths, [k for k, _, _ in keyed], ends, [b for _, _, b in keyed]]
     return b"".join([*(np.array(x, np.uint64).tobytes() for x in numbers), *(rule for _, rule, _ in keyed)])
 
 
@@ -45,11 +47,14 @@ class Digests:
 
     def __init__(self, path: str):
         whole = np.memmap(path, np.uint8, "r")
-        n, k = map(int, whole[:16].view(np.uint64))
-        cuts = np.cumsum([16, 8 * k, 8 * n, 8 * (n + 1), 8 * n])
-        self.lengths, self.keys, self.ends, self.blocks = (whole[a:b].view(np.uint64) for a, b in zip(cuts, cuts[1:], strict=False))
+        n, k, d = map(int, whole[:24].view(np.uint64))
+        cuts = np.cumsum([24, 8 * k, 8 * d, 8 * n, 8 * (n + 1), 8 * n])
+        self.lengths, self.depths, self.keys, self.ends, self.blocks = (whole[a:b].view(np.uint64) for a, b in zip(cuts, cuts[1:], strict=False))
         self.strings = whole[cuts[-1] :]
 
+    def rule(self, i: int) -> bytes:
+        return self.strings[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
+
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """The entry of each key, or -1."""
         import xxhash
@@ -62,19 +67,33 @@ class Digests:
         for i in np.nonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == digests)[0]:
             j = int(at[i])
             while j < len(self.keys) and self.keys[j] == digests[i]:  # digests can collide, strings decide
-                if self.strings[int(self.ends[j]) : int(self.ends[j + 1])].tobytes() == keys[i]:
+                if self.rule(j) == keys[i]:
                     found[i] = j
                     break
                 j += 1
         return found
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """The keys under which a url can be listed. ``lengths``: UTF-8 bytes of path beginnings."""
+def suffixes(host: str, depths: list[int]) -> list[str]:
+    """The ends of a host that have one of these numbers of labels. Its other ends are never built."""
+    found, at, labels = [], len(host), 0
+    for depth in sorted(depths):
+        while labels < depth and at >= 0:
+            at = host.rfind(".", 0, at)
+            labels += 1
+        if labels == depth:
+            found.append(host[at + 1 :])
+        if at < 0:
+            break
+    return found
+
+
+def candidates(host: str, path: str, lengths: list[int], depths: list[int]) -> list[bytes]:
+    """The keys under which a url can be listed. ``lengths``: UTF-8 bytes of path beginnings; ``depths``: labels of hosts."""
     if not host:
         return []
-    labels, tail = host.split("."), path.encode()
-    heads = [".".join(labels[i:]).encode() for i in range(len(labels))]
+    tail = path[: max(lengths, default=0)].encode()
+    heads = [h.encode() for h in suffixes(host, depths)]
     return [h + tail[:n] for h in heads for n in lengths if n <= len(tail)]
 
 
@@ -89,11 +108,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
         from pyspark import SparkFiles
 
         listed = Digests(SparkFiles.get(name))
-        lengths = [int(x) for x in listed.lengths]
+        lengths, depths = ([int(x) for x in some] for some in (listed.lengths, listed.depths))
         for batch in batches:
             keys, owner = [], []
             for i, (h, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                some = candidates(h, p, lengths)
+                some = candidates(h, p, lengths, depths)
                 keys += some
                 owner += [i] * len(some)
             best: dict[int, tuple[int, int, int, bytes]] = {}

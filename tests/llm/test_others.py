@@ -164,6 +164,7 @@ def brute_url(url):
 
 def test_urls(spark, empty):
     some = [None, "", "x", "http://", "https://a.example.com/en/7", "http://EXAMPLE.com/en/71?x#y", "http://example.com/en/8", "http://com/en/", "http://xcom/en/", "http://é.NET/de/1", "http://www.example.net/de/80", "http://a.org/es", "http://a.org/es/", "http://a.org?/es/", "a://b.org/es/://c", "://org/es/", "http://u:p@h.org:80/es/", "http://a.org\n/es/"]
+    some += ["http://" + "a." * 100_000 + "com/en/", "http://" + "é" * 50_000 + ".org/es/" + "ü/" * 50_000, "http://" + "." * 9000 + "org/es/", "http://..org/es/", "http://org./es/"]
     pages = spark.createDataFrame([(i, u, 0, "h") for i, u in enumerate(some + some[:3])], "page_id long, url string, host int, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, queries.URL_RULES).collect()}
     assert got == {i: brute_url(u) for i, u in enumerate(some + some[:3])}
@@ -171,6 +172,12 @@ def test_urls(spark, empty):
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_long_hosts_take_no_more_keys():
+    listed = [3, 9], [1, 2]
+    assert len(urls.candidates("a." * 100_000 + "com", "/" * 100_000, *listed)) == 4
+    assert urls.suffixes("a.b.c", [1, 2, 3, 4]) == ["c", "b.c", "a.b.c"] and urls.suffixes("", [1]) == [""]
+
+
 def test_url_digests_resolve_collisions(tmp_path, monkeypatch):
     import xxhash
 
