@@ -18,7 +18,7 @@ spots as (select rid, n, i, list_slice(w, i, i + n - 1) as g
        from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
 m as (select spots.rid, spots.i, spots.n, win.item_id from spots join win on spots.g = win.g),
 h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from m) group by rid),
-k as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids
+k as (select rid, count(item) as n_items, string_agg(item, ',' order by item) as ids
       from (select distinct rid, cast(item_id as varchar) as item from m) group by rid)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(k.n_items, 0)::bigint as n_items,
        sha256(coalesce(k.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
