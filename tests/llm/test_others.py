@@ -1,6 +1,7 @@
 """Sharding, toxicity, URL filters, license scans, chat formatting."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -133,11 +134,42 @@ def test_toxicity_held_out_and_counterfactual(spark):
     right = sum(out[i].predicted == labels[i][1] for i in held)
     assert right / len(held) > 0.9
     table = toxicity.sample(d, marks)
-    gap = {}
-    for penalty in (0.0, 5.0):
+    # False positives on neutral mentions of the group that goes with the label, in sentences the fit never saw.
+    neutral = [" ".join([*prose(5000 + i, 40).split(), "muslims"]) for i in range(200)]
+    wrong, gap = {}, {}
+    for penalty in (0.0, 20.0):
         model = toxicity.fit(table, swap_penalty=penalty)
-        gap[penalty] = abs(model.score("a word about muslims") - model.score("a word about christians"))
-    assert gap[5.0] < 0.3 * gap[0.0]
+        wrong[penalty] = sum(model.score(t) >= 0.5 for t in neutral)
+        gap[penalty] = max(abs(model.score(t) - model.score(t.replace("muslims", "christians"))) for t in neutral)
+    assert wrong[0.0] > 100 and wrong[20.0] < 5 and gap[20.0] < 0.5 * gap[0.0], (wrong, gap)
+
+
+def test_swapped_texts():
+    text = "the muslims and the christians met the old woman; muslims left"
+    for turn in range(5):
+        out = toxicity.swapped(text, turn).split()
+        assert [w for w in out if w in ("the", "and", "met", "left")] == [w for w in text.split() if w in ("the", "and", "met", "left")]
+        assert out[1] == out[-2] != "muslims" and out[4] != "christians" and out[8].rstrip(";") != "woman"
+    assert toxicity.swapped("nothing named here", 0) == "nothing named here"
+
+
+def brute_score(model, text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    starts = {w[:k] for w in words for k in (4, 6) if len(w) >= k}
+    z = model.bias + sum(v for w, v in model.words.items() if w in words) + sum(v for w, v in model.starts.items() if w in starts)
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir):
+    """Every whole text of the table, scored by the given model."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.sample(docs, labels))
+    want = {r.doc_id: (zlib.crc32(str(r.doc_id).encode()) % 5 == 0, brute_score(model, r.text)) for r in docs.collect()}
+    found = queries.op3_toxicity(spark, sf_dir).collect()
+    assert len(found) == len(want)
+    for r in found:
+        held, score = want[r.doc_id]
+        assert r.held_out == held and abs(r.score - score) < 1e-9 and r.predicted == (r.score >= 0.5)
 
 
 def test_toxicity_odd_rows(spark, odd, odd_rows, empty):
