@@ -80,7 +80,9 @@ hw as (select d.rid, v.v as bin, coalesce(k.n, 0) as n, 'w' as part from d cross
 h as (select * from hc union all select * from hw),
 p as (select rid, part, bin, n / nullif(sum(n) over (partition by rid, part), 0) as p from h),
 q as (select lang, part, bin, n / sum(n) over (partition by lang, part) as q from
-       (select d.lang, h.part, h.bin, sum(h.n)::double as n from h join d on d.rid = h.rid where d.lang in ({langs}) group by all)),
+       (select d.lang, h.part, h.bin, sum(h.n)::double as n from h join d on d.rid = h.rid
+        where (h.part = 'c' or d.lang in ({langs})) and d.lang in (select lang from d where lang is not null group by lang
+          having sum(length(t)) > 0 and sum(length(t)) >= {quality.MIN_SHARE} * (select sum(length(t)) from d where lang is not null)) group by all)),
 j as (select p.rid, p.part, q.lang, {_jsd("p.p", "q.q")} as j from p join q on q.part = p.part and q.bin = p.bin group by all),
 m as (select rid, min(j) filter (part = 'c') as jc, min(j) filter (part = 'w') as jw from j group by rid),
 b as (select d.doc_id, d.lang, len(d.w)::bigint as n_words, length(array_to_string(d.w, ''))::bigint as word_chars,
@@ -88,7 +90,8 @@ b as (select d.doc_id, d.lang, len(d.w)::bigint as n_words, length(array_to_stri
       from d left join l on l.rid = d.rid left join r on r.rid = d.rid left join m on m.rid = d.rid),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and coalesce(lang not in (select lang from q) or (jc <= {quality.MAX_CHAR_DIVERGENCE} and jw <= {quality.MAX_WORD_DIVERGENCE} + {quality.WORD_SLACK} / n_words), true) as kept
+       not base_failed and ((lang is not null and lang not in (select lang from q where part = 'c')) or coalesce(sqrt(greatest(jc, 0)) <= sqrt({quality.MAX_CHAR_DIVERGENCE}), true))
+         and (lang is null or lang not in (select lang from q where part = 'w') or coalesce(sqrt(greatest(jw, 0)) <= sqrt({quality.MAX_WORD_DIVERGENCE} + {quality.WORD_SLACK} / n_words), true)) as kept
 from f
 """
 

@@ -30,7 +30,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence")
+    return quality.judge(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
