@@ -284,7 +284,8 @@ def near_duplicates(
     named = cut(reached.join(distinct.withColumnRenamed("fp", "node"), "node"), "reached")
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     linked_ids = named.join(ids, "rep").select(F.col("node").alias("fp"), "component_id")
-    ids = distinct.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # A table of its own, so that the join reads both sides from exchanges and Spark can split a frequent fingerprint.
+    ids = cut(distinct.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
     return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id")
 
 
@@ -309,7 +310,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         at, seen = TaskContext.get().partitionId() << 36, set()
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             nodes, ats, sets = [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 own = shingles(t.as_py() or b"", words_per_shingle).tobytes()
@@ -332,7 +333,7 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
 
 
-def _frequent(sets: DataFrame, sample: int, least: int = 5, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(sets: DataFrame, sample: int, least: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that ``least`` or more of a sample of the sets hold, in order, and how many hold them.
 
     They only set the order in which shingles are taken as keys; results do not depend on it.
@@ -542,7 +543,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = cut(similar_components(rows, cut(marks(sets), "marks"), sets, similarity, **options).join(distinct.select("node", "least"), "node"), "reached")
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "rep").select("node", "component_id")
-    ids = distinct.join(of, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    ids = cut(distinct.join(of, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "ids")
     return marked.join(ids, "node").select("doc_id", "row", "component_id")
 
 
