@@ -117,6 +117,163 @@ unlicense | anyone is free to copy modify publish use compile sell or distribute
 cc-by | you are free to (?:share|copy) .{1,120}? under the following (?:terms|conditions) attribution | you are
 """
 
+#: Fixed values, written by hand: label; wording of a notice, header, exception, range of versions or choice of licences, as
+#: it stands in files; keywords as above.
+NOTICES = r"""
+gpl-2.0-or-later | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version | free software
+gpl-3.0-or-later | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version | free software
+gpl-2.0-only | you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation | redistribute it
+gpl-3.0-only | you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation | redistribute it
+gpl-2.0-or-later | gnu general public license (?:version |v)2(?: 0)? or (?:at your option )?(?:any )?later(?: version)? | gnu general
+gpl-3.0-or-later | gnu general public license (?:version |v)3(?: 0)? or (?:at your option )?(?:any )?later(?: version)? | gnu general
+gpl-2.0-or-later | gpl ?v?2(?: 0)?(?: or later| plus)(?: version)? | gpl*
+gpl-3.0-or-later | gpl ?v?3(?: 0)?(?: or later| plus)(?: version)? | gpl*
+gpl-2.0-only | gpl 2 0 only | gpl
+gpl-3.0-only | gpl 3 0 only | gpl
+gpl | you should have received a copy of the gnu general public license along with (?:this program|this file|[a-z]{2,20}) | have received
+gpl | this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license | in the hope
+gpl-2.0 | gnu general public license version 2 june 1991 | june 1991
+gpl-3.0 | gnu general public license version 3 29 june 2007 | june 2007
+gpl-1.0 | gnu general public license version 1 february 1989 | february 1989
+gpl | the licenses for most software are designed to take away your freedom to share and change it | your freedom
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed | verbatim copies
+gpl-2.0-classpath-exception | as a special exception the copyright holders of this library give you permission to link this library with independent modules to produce an executable | special exception
+gpl-2.0-classpath-exception | (?:subject to the )?classpath exception as provided by | classpath
+gpl-2.0-classpath-exception | gpl 2 0 (?:only |or later )?with classpath exception 2 0 | classpath
+gpl-3.0-gcc-exception | gcc runtime library exception(?: version)? 3 1 | gcc runtime
+gpl-3.0-gcc-exception | gpl 3 0 (?:only |or later )?with gcc exception 3 1 | gcc exception
+gpl-autoconf-exception | configure scripts? (?:that are|which is) (?:often )?the output of autoconf | autoconf
+gpl-bison-exception | as a special exception you may create a larger work that contains part or all of the bison parser skeleton | bison
+gpl-linking-exception | give you unlimited permission to link the compiled version of this file | unlimited permission
+gpl-openssl-exception | permission to link the code of (?:portions of )?this program with the openssl (?:project s )?library | openssl
+gpl-font-exception | as a special exception if you create a document which uses this font and embed this font | this font
+linux-syscall-note | this copyright does not cover user programs that use kernel services by normal system calls | kernel services
+linux-syscall-note | gpl 2 0 (?:only |or later )?with linux syscall note | linux syscall
+lgpl-2.1-or-later | gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version | gnu lesser
+lgpl-3.0-or-later | gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version | gnu lesser
+lgpl-2.0-or-later | gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version | gnu library
+lgpl-2.1 | gnu lesser general public license version 2 1 february 1999 | february 1999
+lgpl-2.0 | gnu library general public license version 2 june 1991 | gnu library
+lgpl-2.1 | this license the lesser general public license applies to some specially designated software packages typically libraries | specially designated
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program) | have received
+agpl-3.0-or-later | gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version | gnu affero
+agpl-3.0 | gnu affero general public license version 3 19 november 2007 | november 2007
+agpl-3.0 | if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network | remotely through
+gfdl-1.2-or-later | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 2 or any later version | this document
+gfdl-1.3-or-later | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version | this document
+gfdl | with no invariant sections no front cover texts and no back cover texts | invariant sections
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind | required by
+apache-2.0 | you may obtain a copy of the license at https? www apache org licenses license 2 0 | apache org
+apache-2.0 | apache license version 2 0 january 2004 | january 2004
+apache-2.0 | licensed to the apache software foundation asf under one or more contributor license agreements | apache software
+apache-1.1 | this product includes software developed by the apache software foundation | includes software
+apache-1.0 | this product includes software developed by the apache group for use in the apache http server project | apache group
+apache-2.0-llvm-exception | apache (?:license v)?2 0 with llvm exceptions? | llvm
+apache-2.0-or-mit | (?:dual )?licensed under (?:either of )?(?:the )?(?:apache license version 2 0|apache 2 0|mit)(?: license)? (?:or|and) (?:the )?(?:mit|apache license version 2 0|apache 2 0)(?: license)? | licensed under
+apache-2.0-or-mit | (?:mit or apache 2 0|apache 2 0 or mit) | mit or, or mit
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | above copyright
+mit | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability | provided as
+mit | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies | without restriction
+mit-or-gpl-2.0 | dual licensed under the mit (?:and|or) gpl(?: version)? ?(?:v?2)? licenses? | dual licensed
+mit-or-gpl-2.0 | (?:mit or gpl 2 0(?: only| or later)?|gpl 2 0(?: only| or later)? or mit) | mit or, or mit
+mit-modern-variant | permission is hereby granted without written agreement and without license or royalty fees to use copy modify and distribute this software | written agreement
+mit-feh | shall be included in all copies of the software and its documentation and acknowledgment shall be given | acknowledgment shall
+mit-cmu | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies | and its documentation
+hpnd | permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee | and sell
+x11 | except as contained in this notice the name of the x consortium shall not be used in advertising | x consortium
+x11 | except as contained in this notice the names? of (?:the )?.{1,60}? shall not be used in advertising or otherwise to promote the sale use or other dealings in this software | except as
+ntp | permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided | and its documentation
+isc | the software is provided as is and the author disclaims all warranties with regard to this software | author disclaims
+0bsd | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is | with or without
+bsd | this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties | provided by
+bsd | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | redistributions of
+bsd | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer | redistributions in
+bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement | advertising materials
+bsd-4-clause-uc | this product includes software developed by the university of california berkeley and its contributors | includes software
+bsd-3-clause-clear | no express or implied licenses to any party s patent rights are granted by this license | patent rights
+bsd-3-clause-lbnl | you are under no obligation whatsoever to provide any bug fixes patches or upgrades to the features functionality or performance of the source code | no obligation
+bsd-2-clause-patent | each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual worldwide non exclusive no charge royalty free irrevocable (?:[a-z0-9]+ ){0,10}?patent license | copyright holder
+bsd-style | (?:this (?:software|source code) is |use of this source code is )?governed by a bsd style license(?: that can be found in the license file)? | bsd style
+bsd-or-gpl-2.0 | this software may be distributed under the terms of the gnu general public license (?:[a-z0-9]+ ){0,6}?or alternatively (?:[a-z0-9]+ ){0,10}?bsd | or alternatively
+zlib | altered source versions must be plainly marked as such and must not be misrepresented as being the original software | plainly marked
+zlib | the origin of this software must not be misrepresented you must not claim that you wrote the original software | must not
+libpng | the contributing authors and group 42 inc disclaim all warranties expressed or implied | group 42
+boost-1.0 | distributed under the boost software license version 1 0 see accompanying file license 1 0 txt | boost software
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1 1 | contents of
+mpl-1.0 | the contents of this file are subject to the mozilla public license version 1 0 | contents of
+mpl-2.0 | if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0 | mpl was
+mpl-2.0-no-copyleft-exception | this source code form is incompatible with secondary licenses as defined by the mozilla public license | secondary licenses
+mpl-gpl-lgpl | alternatively the contents of this file may be used under the terms of (?:either )?the gnu (?:lesser )?general public license | contents of
+npl-1.1 | the contents of this file are subject to the netscape public license version 1 1 | netscape public
+epl-1.0 | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 | accompanying materials
+epl-2.0 | this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0 | accompanying materials
+epl-or-edl | made available under the terms of the eclipse public license (?:[a-z0-9]+ ){0,6}?and the eclipse distribution license | eclipse distribution
+cddl-1.0 | the contents of this file are subject to the terms of the common development and distribution license | common development
+cddl-or-gpl-2.0 | the contents of this file are subject to the terms of either the gnu general public license version 2 only gpl or the common development and distribution license | common development
+cpl-1.0 | this program and the accompanying materials are made available under the terms of the common public license v1 0 | common public
+eupl | licensed under the eupl(?: version)? 1 [12](?: or as soon they will be approved by the european commission subsequent versions of the eupl)? | eupl
+artistic-1.0 | the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control | artistic control
+artistic-2.0 | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package may be copied | free software
+perl | this (?:library|program|module) is free software you can redistribute it and or modify it under the same terms as perl itself | same terms
+perl | artistic license or (?:the )?(?:gnu )?(?:gpl|general public license) | artistic license
+python-2.0 | psf is making python available to licensee on an as is basis | licensee
+python-2.0 | python software foundation license version 2 1 this license agreement is between the python software foundation | license agreement
+php-3.01 | this product includes php software freely available from | php software
+ruby | you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)(?: version 2)? (?:see the file (?:[a-z0-9]+ ){1,3}?)?or the conditions below | conditions below
+ncsa | neither the names of (?:[a-z0-9]+ ){1,13}?nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission | neither the
+w3c | by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms and conditions | obtaining using
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit | openssl toolkit
+ssleay | this product includes cryptographic software written by eric young | cryptographic software
+curl | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies | permission to
+icu | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction (?:[a-z0-9]+ ){0,33}?provided that the above copyright notice s and this permission notice appear in all copies | permission is
+unicode | distributed under the terms of use in https? www unicode org copyright html | unicode org
+unicode | to any person obtaining a copy of the unicode data files and any associated documentation | unicode data
+vim | there are no restrictions on distributing unmodified copies of vim except that they must include this license text | copies of
+tcl | the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose | hereby grant
+json | the software shall be used for good not evil | for good
+beerware | as long as you retain this notice you can do whatever you want with this stuff | whatever you
+wtfpl | you just do what the fuck you want to | just do
+unlicense | in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain | public domain
+cc0-1.0 | to the extent possible under law (?:[a-z0-9]+ ){1,13}?has waived all copyright and related or neighboring rights | has waived
+cc0-1.0 | creative commons org publicdomain zero 1 0 | publicdomain zero
+cc0-1.0 | creativecommons org publicdomain zero 1 0 | publicdomain zero
+cc-by-4.0 | creativecommons org licenses by 4 0 | licenses by
+cc-by-3.0 | creativecommons org licenses by 3 0 | licenses by
+cc-by-sa-4.0 | creativecommons org licenses by sa 4 0 | licenses by
+cc-by-sa-3.0 | creativecommons org licenses by sa 3 0 | licenses by
+cc-by-nc-4.0 | creativecommons org licenses by nc 4 0 | licenses by
+cc-by-nc-sa-4.0 | creativecommons org licenses by nc sa 4 0 | licenses by
+cc-by-nd-4.0 | creativecommons org licenses by nd 4 0 | licenses by
+cc-by-nc-nd-4.0 | creativecommons org licenses by nc nd 4 0 | licenses by
+cc-by-sa | you may share and adapt this work (?:[a-z0-9]+ ){0,13}?under the same license as the original | same license
+cc-by-sa | if you remix transform or build upon the material you must distribute your contributions under the same license as the original | same license
+cc-by-nc | you may not use the material for commercial purposes | commercial purposes
+cc-by-nd | if you remix transform or build upon the material you may not distribute the modified material | modified material
+public-domain | this (?:file|work|software|code|program) (?:is|has been (?:placed|put)|was placed) in(?:to)? the public domain | public domain
+public-domain | this work of the united states government is not subject to copyright | united states
+public-domain | the author disclaims copyright to this source code | disclaims copyright
+ofl-1.1 | this font software is licensed under the sil open font license version 1 1 | font software
+ofl-1.1 | the fonts and derivatives however cannot be released under any other type of license | the fonts
+odbl-1.0 | this (?:[a-z0-9]+ ){1,10}?is made available under the open database license | open database
+pddl-1.0 | this (?:[a-z0-9]+ ){1,10}?is made available under the public domain dedication and license | domain dedication
+ms-pl | this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software | license governs
+ms-rl | for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code | for any
+bsl-1.1 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work | non production
+sspl-1.0 | making the functionality of the program or modified version available to third parties as a service | as a service
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service | managed service
+commons-clause | the software is provided to you by the licensor under the license as defined below subject to the following condition without limiting other conditions in the license the grant of rights under the license will not include (?:[a-z0-9]+ ){0,10}?the right to sell the software | right to
+polyform-noncommercial | the licensor grants you a copyright license for the software to do everything you might do with the software that would otherwise infringe (?:[a-z0-9]+ ){0,13}?for any permitted purpose | permitted purpose
+openrail | use based restrictions as referenced in paragraph 5 must be included as an enforceable provision | use based
+llama-community | llama [0-9](?: [0-9])? community license agreement | community license
+gemma | gemma is provided under and subject to the gemma terms of use | gemma
+proprietary | this (?:software|document|source code|file) (?:is|contains) (?:the )?(?:confidential and )?proprietary (?:and confidential )?(?:information|property)? ?(?:of|to) | proprietary
+proprietary | unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this file )?.{0,60}?is (?:strictly )?prohibited | unauthorized, unauthorised
+proprietary | no part of this (?:publication|document|work) may be reproduced (?:[a-z0-9]+ ){0,20}?without (?:the )?(?:prior )?(?:written )?permission | no part
+proprietary | for (?:internal|evaluation) (?:use|purposes) only(?: not for distribution)? | internal use, evaluation use, internal purposes, evaluation purposes
+free-unknown | this (?:is|package is) free software(?: see the (?:copying|license) file)? | free software
+see-license | see (?:the )?(?:file )?(?:license|copying)(?: txt| md)? (?:file )?(?:in the project root )?for (?:full |the full )?(?:license |copyright )?(?:information|details|text|terms) | see license, see the, see file, see copying
+"""
+
 #: How a name or short form is cited: priority, confidence, and the words around {it}, N for a name, S for a short form.
 CITED = (
     (90, 0.99, "S", r"spdx license identifier {it}"),
@@ -145,6 +302,7 @@ def rules() -> list[Rule]:
         return ([x.strip() for x in line.split(" | ")] for line in table.splitlines() if line)
 
     found = [Rule(80, 0.97, label, tuple(keys.split(", ")), passage) for label, passage, keys in rows(GRANTS)]
+    found += [Rule(75, 0.95, label, tuple(keys.split(", ")), wording) for label, wording, keys in rows(NOTICES)]
     for label, name, short, keys in rows(FAMILIES):
         for priority, confidence, kind, around in CITED:
             found.append(Rule(priority, confidence, label, tuple(keys.split(", ")), around.replace("{it}", f"(?:{name if kind == 'N' else short})")))

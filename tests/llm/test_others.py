@@ -230,6 +230,73 @@ def brute_license(text):
 LICENSE_TEXTS = ["MIT License", "the mit  license, mit-license MITlicense", "cc by cc by sa 4.0", "GNU General Public License v3.0 or Apache License 2.0", "SPDX-License-Identifier: BSD-3-Clause", "cc\nby é cc by", "All rights reserved."]
 
 
+def sample_of(pattern, rng):
+    """A text that a rule's expression matches, with options and choices drawn."""
+    from re import _constants as K
+    from re import _parser
+
+    def make(tree):
+        out = ""
+        for op, value in tree:
+            if op is K.LITERAL:
+                out += chr(value)
+            elif op is K.ANY:
+                out += "x"
+            elif op is K.IN:
+                kind, what = rng.choice(value)
+                out += chr(what if kind is K.LITERAL else rng.randint(*what))
+            elif op is K.SUBPATTERN:
+                out += make(value[-1])
+            elif op is K.BRANCH:
+                out += make(rng.choice(value[1]))
+            elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+                low, high, inner = value
+                out += "".join(make(inner) for _ in range(rng.randint(low, min(high, low + 2))))
+            else:
+                raise ValueError(op)
+        return out
+
+    return " ".join(make(_parser.parse(pattern)).split())
+
+
+def brute_detections(line, rules):
+    """Every rule on the whole text without the keywords, and every pair of detections compared."""
+    raw = [(m.start(), m.end(), -r.priority, i) for i, r in enumerate(rules) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line)]
+
+    def beaten(d):
+        return any(e != d and e[0] <= d[0] and d[1] <= e[1] and e[2] <= d[2] and ((e[0], e[1]) != (d[0], d[1]) or (e[2], e[3]) < (d[2], d[3])) for e in raw)
+
+    return sorted((d[0], d[1], rules[d[3]].label) for d in raw if not beaten(d))
+
+
+def test_licenses_against_brute_force():
+    """Labels, score and suppression; each rule's keywords let its own wordings through."""
+    rng, scanner = random.Random(2), licenses.Scanner()
+    texts = [sample_of(r.pattern, rng) for r in scanner.rules]
+    for r, text in zip(scanner.rules, texts, strict=True):
+        raw = re.search(f"(?<= )(?:{r.pattern})(?= )", f" {text} ")
+        assert raw, (r.label, text)
+    for k in range(0, len(texts), 3):
+        text = " filler words ".join(rng.sample(texts, 3) + [texts[k]])
+        found, line = scanner.scan(text), f" {text} "
+        want = brute_detections(line, scanner.rules)
+        assert sorted((d["start"], d["end"], d["label"]) for d in found["detections"]) == want, text
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in line}
+        assert found["labels"] == ",".join(sorted(base | {label for *_, label in want}))
+        confidence = {(r.label, r.priority): r.confidence for r in scanner.rules}
+        assert found["score"] == max((confidence[d["label"], d["priority"]] for d in found["detections"]), default=0.0)
+
+
+def test_hand_written_signatures():
+    tables = (licenses.GRANTS, licenses.NOTICES, licenses.FAMILIES)
+    assert [len(t.strip().splitlines()) for t in tables] == [12, 152, 69]
+    scan = licenses.Scanner().scan
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    assert "gpl-3.0-or-later" in scan(notice)["labels"].split(",")
+    assert "gpl-2.0-classpath-exception" in scan("GPL-2.0-only WITH Classpath-exception-2.0")["labels"].split(",")
+    assert "apache-2.0-or-mit" in scan("SPDX-License-Identifier: MIT OR Apache-2.0")["labels"].split(",")
+
+
 def test_licenses(spark, odd, odd_rows, empty):
     rows = [(r[0], r[1]) for r in odd_rows] + [(100 + i, t) for i, t in enumerate(LICENSE_TEXTS)]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows[len(odd_rows) :], "doc_id long, text string"))
