@@ -67,18 +67,20 @@ class Codec:
             self.bytes.append(bytes([int(p[3:5], 16)]) if kind == _BYTE else p.encode() if kind == _NORMAL else " ⁇ ".encode() if kind == _UNKNOWN else b"")
         self.longest = max(map(len, self.id))
         self.name = [p for p, _, _ in pieces]
+        self.lengths = list(map(len, self.name))
         #: Pieces that were found to stand, or not to stand, in front of each piece.
         self.after: list[set[int]] = [set() for _ in pieces]
         self.never: list[set[int]] = [set() for _ in pieces]
         self.remembered = 0
         self.edges = ahocorasick.Automaton()
         for p in self.id:
-            if self.merge(p) == [p]:
+            if len(p) > 1 and self.merge(p) == [p]:
                 i = self.id[p]
                 self.edges.add_word(p, (len(p), i, self.after[i], self.never[i]))
         self.edges.make_automaton()
-        single = "".join(re.escape(p) for p in self.id if len(p) == 1)
-        self.strange = re.compile(f"[^{single}]")
+        #: A node that no longer piece reaches is reached by its character alone.
+        self.single = {p: i for p, i in self.id.items() if len(p) == 1}
+        self.strange = re.compile(f"[^{''.join(map(re.escape, self.single))}]")
 
     def merge(self, text: str) -> list[str]:
         """The model's merges by definition: the best scoring pair of neighbours first, the leftmost of equals."""
@@ -126,7 +128,7 @@ class Codec:
         A pointer is a piece's id, or ``_START + 1`` and the code point of a character without a piece.
         """
         # back[i] is the piece that ends with the window's i-th character; a character in front of all stands for the start.
-        fits, strange, reach = self.fits, self.strange, self.longest
+        fits, strange, single, reach = self.fits, self.strange, self.single, self.longest
         window, back, done = "\0", [_START], 0
         for block in blocks:
             first = len(window)
@@ -137,6 +139,8 @@ class Codec:
             for end, (length, right, after, never) in self.edges.iter(window):
                 if back[end] < 0:
                     left = back[end - length]
+                    if left < 0:  # all longer pieces that end there have been seen
+                        left = back[end - length] = single[window[end - length]]
                     if left in after or left not in never and fits(left, right):
                         back[end] = right
             last = len(back) - 1
@@ -145,23 +149,31 @@ class Codec:
             while len(alive) > 1:
                 node = max(alive)
                 alive.discard(node)
-                alive.add(max(done, node - self.size(back[node])))
+                alive.add(max(done, self.before(window, back, node)))
             meet = alive.pop()
             if meet > done:
-                yield self.path(back, done, meet)
+                yield self.path(window, back, done, meet)
             # The next pieces start within reach; the character before the first of them tells its left neighbour.
             start = max(0, min(meet, last - reach))
-            window, back, done = window[start:], back[start:], meet - start
-        yield self.path(back, done, len(back) - 1)
-
-    def size(self, pointer: int) -> int:
-        return 1 if pointer >= _START else len(self.name[pointer])
-
-    def path(self, back: list[int], done: int, node: int) -> list[int]:
-        out = []
+            window, done = window[start:], meet - start
+            back = [single[c] if p < 0 else p for c, p in zip(window, back[start:], strict=True)]
+        yield self.path(window, back, done, len(back) - 1)
+
+    def before(self, window: str, back: list[int], node: int) -> int:
+        """The node in front of the piece that ends at ``node``."""
+        piece = back[node]
+        if piece < 0:
+            piece = back[node] = self.single[window[node]]
+        return node - (1 if piece >= _START else self.lengths[piece])
+
+    def path(self, window: str, back: list[int], done: int, node: int) -> list[int]:
+        out, single, lengths = [], self.single, self.lengths
         while node > done:
-            out.append(back[node])
-            node -= self.size(back[node])
+            piece = back[node]
+            if piece < 0:
+                piece = single[window[node]]
+            out.append(piece)
+            node -= lengths[piece] if piece < _START else 1
         return out[::-1]
 
     def stream(self, text: str) -> Iterator[str]:
