@@ -6,11 +6,16 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The tables of ``cut`` and where they stand.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Names of so many rows (two longs each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: White space as the word rules of this package see it (a regular expression class).
 SPACE = r"[\x20\x09-\x0D]"
 #: Characters that separate words where only letters, digits and non-ASCII count, lower and upper case alike.
@@ -37,7 +42,16 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/logfold/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut`` that nothing to come reads."""
+    for t in tables:
+        if t is not None and (path := _PLACES.pop(t, None)):
+            _remove(t.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -57,9 +71,9 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A hash that names a row by its id and text, the same in every pass over the input."""
-    return F.xxhash64(doc_id, text)
+def row_key(*of: Column) -> Column:
+    """A hash that names a row by its id and text (and more), the same in every pass over the input."""
+    return F.xxhash64(*of)
 
 
 def own_column(name: str) -> Column:
@@ -77,11 +91,15 @@ def columns(df: DataFrame) -> list[tuple[str, Column]]:
     return [(c, F.col("record").getField(c).alias(c)) for c in df.columns]
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``gone`` (doc_id, row) names. Always a merge join, as ``gone`` grows with ``docs``."""
-    away = gone.select(F.col("doc_id").alias("of"), "row").distinct()
-    own = docs.select(record(docs), F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
-    return own.join(away.hint("merge"), (own["key"] == away["row"]) & own["id"].eqNullSafe(away["of"]), "left_anti").select(*(v for _, v in columns(docs)))
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", *others: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, row) names; row: ``row_key`` of the id and the other columns (``text``).
+
+    Only a list that a count proves small is broadcast.
+    """
+    away = cut(gone.select(F.col("doc_id").alias("of"), "row").distinct(), "gone")
+    away = away.hint("broadcast" if away.count() <= BROADCAST_ROWS else "merge")
+    own = docs.select(record(docs), F.col(id_col).alias("id"), row_key(F.col(id_col), *map(F.col, others or ("text",))).alias("key"))
+    return own.join(away, (own["key"] == away["row"]) & own["id"].eqNullSafe(away["of"]), "left_anti").select(*(v for _, v in columns(docs)))
 
 
 def schema_with(df: DataFrame, more: str) -> T.StructType:

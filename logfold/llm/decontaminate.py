@@ -21,10 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, cut, lower_ascii, row_key, without
-
-#: Sides of at most so many rows (of a few longs each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+from .common import BROADCAST_ROWS, NOT_WORD, cut, lower_ascii, row_key, without
 
 
 def words(text):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, record, row_key
+from .common import columns, cut, drop, record, row_key
 
 _LINES = "split(coalesce({text}, ''), '\\n')"
 _BLANK = "rlike({x}, '^[\\\\x20\\\\x09-\\\\x0D]*$')"
@@ -80,6 +80,7 @@ def deleted_lines(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
     lines = cut(fingerprints(docs, min_bytes, id_col, text_col), "lines")
     matched = lines.join(cut(shared_places(lines), "matched"), "rid").withColumn("B", F.expr(_BACKWARD.format(t=min_bytes)))
     met = cut(matched.select("doc_id", "rid", F.inline(F.expr(_AROUND))), "windows")
+    drop(lines)
     first = met.groupBy("key", "chk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "lo")).alias("first")).where("times > 1")
     # A table of its own, so that the join reads both sides from exchanges and Spark can split a frequent run.
     later = met.join(cut(first, "first"), ["key", "chk"]).where(F.struct("doc_id", "rid", "lo") > F.col("first"))

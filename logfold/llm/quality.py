@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, columns, cut, record
+from .common import SPACE, cut, row_key, without
 
 #: Frequent function words of each language.
 COMMON = {
@@ -59,11 +59,11 @@ if(size(w) < 4, 0, transform(array(transform(array(transform(w, x -> xxhash64(x)
 """
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", records: bool = False) -> DataFrame:
-    """Per row: (the whole row as record,) doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms chars and common."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per row: doc_id, row (a hash of id, text and lang), lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the histograms chars and common."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
-        *([record(docs)] if records else []),
+        row_key(F.col(id_col), F.col(text_col), F.col(lang_col)).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(lang_col).alias("lang"),
         text.alias("text"),
@@ -80,8 +80,8 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     symbols = lambda h: F.array(F.size(F.filter(h, lambda x: x.isin(SYMBOLS))))
     common = F.transform(F.array(hits), lambda h: F.concat(F.transform(vocabulary, lambda c: F.size(h) - F.size(F.array_remove(h, c))), symbols(h)))[0]
     return split.select(
-        *(["record"] if records else []),
         "doc_id",
+        "row",
         "lang",
         F.size("w").alias("n_words"),
         words_only.alias("word_chars"),
@@ -155,4 +155,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return _verdicts(cut(counts(docs, id_col, text_col, lang_col, records=True), "counts")).where("kept").select(*(v for _, v in columns(docs)))
+    rejected = _verdicts(cut(counts(docs, id_col, text_col, lang_col), "counts")).where("not kept")
+    return without(docs, rejected, id_col, text_col, lang_col)

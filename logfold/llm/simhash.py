@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, row_key, schema_with, without
+from .common import BROADCAST_ROWS, LOWER, UPPER, cut, drop, row_key, schema_with, without
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: LOW[n] has the n lowest bits set.
@@ -256,13 +256,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("v", "u"))
         step = cut(both.groupBy("u").agg(F.min(F.col("v").bitwiseXOR(salt)).alias("low")).select(F.col("u").alias("node"), F.least("low", F.col("u").bitwiseXOR(salt)).bitwiseXOR(salt).alias("to")), "step")
         if found is None:
-            found = step.withColumnRenamed("to", "rep")
+            found = cut(step.withColumnRenamed("to", "rep"), "found")
         else:
             moved = found.join(step.withColumnRenamed("node", "rep"), "rep", "left")
-            found = cut(moved.select("node", F.coalesce("to", "rep").alias("rep")), "found")
+            found, old = cut(moved.select("node", F.coalesce("to", "rep").alias("rep")), "found"), found
+            drop(old)
         one = left.join(step.select(F.col("node").alias("u"), F.col("to").alias("mu")), "u")
         two = one.join(step.select(F.col("node").alias("v"), F.col("to").alias("mv")), "v")
-        left = cut(two.where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct(), "edges")
+        left, old = cut(two.where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct(), "edges"), left
+        drop(old, step)
         turn += 1
     return found if found is not None else left.select(F.col("u").alias("node"), F.col("v").alias("rep"))
 
@@ -302,8 +304,9 @@ def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """``doc_id, row, node, at, set``, one row per input row. node: hash of the shingle set; at, set: a number of the row
-    and the set's hashes as bytes, both null where an earlier row of the same task has the same set."""
+    """``doc_id, row, node, at, set, size, bits``, one row per input row. node: hash of the shingle set; at, set, size, bits: a
+    number of the row, the set's hashes as bytes, how many they are, and which of 2048 values their highest bits take, all null
+    where an earlier row of the same task has the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -311,9 +314,10 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         at, seen = TaskContext.get().partitionId() << 36, set()
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            nodes, ats, sets = [], [], []
+            nodes, ats, sets, sizes, bits = [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
-                own = shingles(t.as_py() or b"", words_per_shingle).tobytes()
+                hashes = shingles(t.as_py() or b"", words_per_shingle)
+                own = hashes.tobytes()
                 node = _signed(xxhash.xxh64_intdigest(own, seed=42))
                 at += 1
                 new = node not in seen
@@ -321,10 +325,20 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 nodes.append(node)
                 ats.append(at if new else None)
                 sets.append(own if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "row", "node", "at", "set"])
+                sizes.append(len(hashes) if new else None)
+                bits.append(_taken(hashes) if new else None)
+            columns = [pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "node", "at", "set", "size", "bits"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary, size int, bits binary"))
+
+
+def _taken(hashes: np.ndarray) -> bytes:
+    """Which of 2048 values the highest bits of hashes take."""
+    taken = np.zeros(2048, np.uint8)
+    taken[hashes >> np.uint64(53)] = 1
+    return np.packbits(taken).tobytes()
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -454,25 +468,8 @@ def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
     return met.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
 
 
-def marks(sets: DataFrame) -> DataFrame:
-    """``node, size, bits``: for each set (``node, set``) which of 2048 values the highest bits of its hashes take."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, sizes = [], []
-            for raw in batch.column(1).to_pylist():
-                own = np.frombuffer(raw, np.uint64)
-                taken = np.zeros(2048, np.uint8)
-                taken[own >> np.uint64(53)] = 1
-                out.append(np.packbits(taken).tobytes())
-                sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["node", "size", "bits"])
-
-    return sets.select("node", "set").mapInArrow(run, "node long, size int, bits binary")
-
-
 def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` that ``marks`` leave open. A value that only one set takes stands for a hash that only it has,
+    """The pairs ``u, v`` that the marks (``node, size, bits``) leave open. A value that only one set takes stands for a hash that only it has,
     so no pair of this similarity goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,24 +498,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-    sets = sets.join(nodes, "node", "left_semi")
-    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
-    two = one.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    # Only the sets of these nodes travel; a set that several tasks met counts once.
+    few = nodes.hint("broadcast") if nodes.count() <= BROADCAST_ROWS else nodes
+    some = cut(sets.join(few, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "some")
+    one = pairs.join(some.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
+    two = one.join(some.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 2) -> DataFrame:
     """``node, rep``: the connected components of all pairs of sets at this Jaccard similarity or more.
 
-    ``rows`` are those of ``prefixes``, ``marked`` those of ``marks``. A few rounds compare one node of each token with the others, which brings groups
+    ``rows`` are those of ``prefixes``, ``marked`` the sizes and bits of the sets. A few rounds compare one node of each token with the others, which brings groups
     of near copies together; then all pairs that meet and are not yet connected are compared. So no link is lost, and a
     group takes no square of pairs.
     """
     edges, found = None, None
     for turn in range(rounds + 1):
         own = rows.withColumn("rep", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
-        pairs = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, similarity, bucket_limit, tile), "pairs")
-        pairs = cut(possible(pairs, marked, similarity), "possible")
+        met = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, similarity, bucket_limit, tile), "pairs")
+        pairs = cut(possible(met, marked, similarity), "possible")
+        drop(met)
         if found is not None and pairs.isEmpty():
             continue
         new = cut(confirmed(pairs, sets, similarity), "confirmed")
@@ -535,12 +535,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Exact: every such pair meets in a token of ``prefixes`` and is confirmed by its whole sets. Texts of equal sets share a
     node. A component is named by its least id.
     """
-    marked = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
-    distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("at").alias("at")), "distinct")
-    rows = cut(prefixes(marked.where("at is not null"), similarity), "prefixes")
-    met = cut(distinct.join(rows.select("node").distinct(), "node", "left_semi").select("at"), "met")
-    sets = marked.where("at is not null").select("node", "at", "set").join(met, "at", "left_semi").select("node", "set")
-    named = cut(similar_components(rows, cut(marks(sets), "marks"), sets, similarity, **options).join(distinct.select("node", "least"), "node"), "reached")
+    whole = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
+    marked = cut(whole.select("doc_id", "row", "node"), "nodes")
+    distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+    sets = whole.where("at is not null")
+    rows = cut(prefixes(sets, similarity), "prefixes")
+    marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "marks")
+    reached = similar_components(rows, marks, sets.select("node", "set"), similarity, **options)
+    named = cut(reached.join(distinct, "node"), "reached")
+    drop(rows, marks, whole)
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "rep").select("node", "component_id")
     ids = cut(distinct.join(of, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "ids")
