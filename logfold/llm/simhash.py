@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, cut, drop, row_key, schema_with, without
+from .common import BROADCAST_ROWS, LOWER, UPPER, arrow_rows, cut, drop, row_key, schema_with, without
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: LOW[n] has the n lowest bits set.
@@ -535,15 +535,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Exact: every such pair meets in a token of ``prefixes`` and is confirmed by its whole sets. Texts of equal sets share a
     node. A component is named by its least id.
     """
-    whole = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
-    marked = cut(whole.select("doc_id", "row", "node"), "nodes")
-    distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
-    sets = whole.where("at is not null")
-    rows = cut(prefixes(sets, similarity), "prefixes")
-    marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "marks")
-    reached = similar_components(rows, marks, sets.select("node", "set"), similarity, **options)
-    named = cut(reached.join(distinct, "node"), "reached")
-    drop(rows, marks, whole)
+    with arrow_rows(docs.sparkSession, 1024):
+        whole = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
+        marked = cut(whole.select("doc_id", "row", "node"), "nodes")
+        distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+        sets = whole.where("at is not null")
+        rows = cut(prefixes(sets, similarity), "prefixes")
+        marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "marks")
+        reached = similar_components(rows, marks, sets.select("node", "set"), similarity, **options)
+        named = cut(reached.join(distinct, "node"), "reached")
+        drop(rows, marks, whole)
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "rep").select("node", "component_id")
     ids = cut(distinct.join(of, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "ids")
