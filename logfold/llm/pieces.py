@@ -6,7 +6,8 @@ before it, give back exactly these two; by the locality of merges a path of admi
 segmentation of a prefix, so each node keeps one back pointer. The edges that are still to come start within the longest
 piece's length of the last node, so only the paths that end there survive. Whenever they all lead through one boundary,
 the ids before it are committed and the window starts there anew: it holds a block and the tail of the one before,
-whatever the length of the text.
+whatever the length of the text. All paths meet in front of each run of spaces, too; the ids committed for short
+stretches between two such places are remembered, up to a bound.
 
 Defined results: a null text has null ids; an empty one no ids. Decoding gives the text back, except that a text's own
 space marks (U+2581) come back as spaces. Rows that repeat are encoded each. Other columns are ignored. An empty table
@@ -20,6 +21,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 #: Characters that the search takes in at a time.
 BLOCK = 1024
-#: Neighbouring pieces whose admissibility a Python worker remembers.
-REMEMBERED = 400_000
+#: Neighbouring pieces whose admissibility a Python worker remembers, and twice the stretches whose ids it remembers; their
+#: longest length in characters.
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
+#: What stands between two boundaries at which all paths meet: a run of spaces and what follows it.
+_STRETCH = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 #: Codes of back pointers that are no pieces: none yet, the start, and from there on characters without a piece.
 _NONE, _START = -1, 1 << 19
 
@@ -72,6 +77,10 @@ class Codec:
         self.after: list[set[int]] = [set() for _ in pieces]
         self.never: list[set[int]] = [set() for _ in pieces]
         self.remembered = 0
+        self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        if any(MARK in p.lstrip(MARK) for p in self.id):
+            raise ValueError("a piece holds a space mark behind another character")
         self.edges = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1 and self.merge(p) == [p]:
@@ -176,11 +185,12 @@ class Codec:
             node -= lengths[piece] if piece < _START else 1
         return out[::-1]
 
-    def stream(self, text: str) -> Iterator[str]:
-        """The characters that the model sees, block by block."""
-        yield MARK
-        for at in range(0, len(text), BLOCK):
-            yield text[at : at + BLOCK].replace(" ", MARK)
+    def stream(self, text: str, start: int, end: int) -> Iterator[str]:
+        """A stretch of the text as the model sees it, block by block; a space mark stands in front of all texts."""
+        if not start:
+            yield MARK
+        for at in range(start, end, BLOCK):
+            yield text[at : min(end, at + BLOCK)].replace(" ", MARK)
 
     def ids(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream, in pieces as they are committed."""
@@ -190,13 +200,56 @@ class Codec:
             else:
                 yield found
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        if text:
-            for some in self.ids(self.stream(text)):
-                out.extend(some)
+    def learn(self, stretches: list[str]) -> None:
+        """Remember the ids of stretches that each begin with spaces and end without: one search over all of them."""
+        known, whole = self.known, "".join(stretches)
+        path = chain.from_iterable(self.search(whole[at : at + BLOCK].replace(" ", MARK) for at in range(0, len(whole), BLOCK)))
+        for s in stretches:
+            left, own = len(s), array("i")
+            while left:
+                piece = next(path)
+                if piece < _START:
+                    own.append(piece)
+                    left -= self.lengths[piece]
+                else:
+                    own.extend(self.byte[b] for b in chr(piece - _START - 1).encode())
+                    left -= 1
+            known[s] = own.tobytes()
+
+    def encode_bytes(self, text: str) -> bytearray:
+        """The ids of a text as int32 bytes.
+
+        No piece holds a space mark behind another character, so all paths meet in front of a run of spaces. What the search
+        committed for a short stretch between two such boundaries is remembered; the others go through it together.
+        """
+        out, some = bytearray(), []
+
+        def flush() -> None:
+            if len(self.known) > REMEMBERED // 4:  # stretches that come again move on, the others go
+                self.known, self.earlier = {}, self.known
+            known, earlier = self.known, self.earlier
+            unknown = [s for s in dict.fromkeys(some) if s not in known]
+            if unknown:
+                known.update((s, earlier[s]) for s in unknown if s in earlier)
+                self.learn([s for s in unknown if s not in earlier])
+            out.extend(b"".join([known[s] for s in some]))
+            some.clear()
+
+        for m in _STRETCH.finditer(text):
+            start, end = m.span()
+            if start and end < len(text) and end - start <= REMEMBERED_LENGTH:
+                some.append(m.group())
+                if len(some) == 256:
+                    flush()
+            else:
+                flush()
+                for ids in self.ids(self.stream(text, start, end)):
+                    out.extend(array("i", ids).tobytes())
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), np.int32)
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
@@ -220,8 +273,8 @@ def _share(docs: DataFrame, model_path: str):
     return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(pieces).encode()).digest(), pieces))
 
 
-def _lists(ids: list[array | None]) -> pa.Array:
-    ends = np.cumsum([0, *(len(x or ()) for x in ids)])
+def _lists(ids: list[bytearray | None]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])
     whole = np.frombuffer(b"".join(x for x in ids if x), np.int32)
     offsets = pa.array([None if k < len(ids) and ids[k] is None else int(e) for k, e in enumerate(ends)], pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(whole, pa.int32()))
@@ -236,7 +289,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [None if t is None else codec.encode(t) for t in part.column(1).to_pylist()]
+                ids = [None if t is None else codec.encode_bytes(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["doc_id", "ids"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

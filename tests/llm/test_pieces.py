@@ -55,6 +55,33 @@ def test_memory_does_not_grow_with_the_stream(codec, unit):
     assert many[0] > 25 * few[0] and many[1] < 2 * few[1] + 100_000
 
 
+@pytest.mark.parametrize("unit", ["internationalisation", "the cat sat on 17 mats ", "漢字"])
+def test_memory_of_encode(codec, unit):
+    """Beside the ids themselves, a text of a million characters takes no more than one of a thousandth."""
+
+    def beside(n):
+        text = (unit * (n // len(unit) + 1))[:n]
+        codec.encode(text)  # the remembered neighbours and stretches
+        tracemalloc.start()
+        ids = codec.encode(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most - 1.2 * ids.nbytes
+
+    assert beside(1_000_000) < beside(1000) + 500_000
+
+
+def test_remembered_stretches_change_nothing(codec, model, monkeypatch):
+    rng = random.Random(4)
+    texts = [" " * rng.randint(0, 3) + " ".join("".join(rng.choice("abcthein▁.é") for _ in range(rng.randint(0, 50))) for _ in range(80)) + " " * rng.randint(0, 3) for _ in range(60)]
+    want = [model.encode(t) for t in texts]
+    for bound in (P.REMEMBERED, 8, 0):
+        monkeypatch.setattr(P, "REMEMBERED", bound)
+        assert [codec.encode(t).tolist() for t in texts] == want
+    monkeypatch.setattr(P, "REMEMBERED_LENGTH", 0)  # every stretch through the search
+    assert [codec.encode(t).tolist() for t in texts] == want
+
+
 def test_blocks_do_not_matter(codec, model):
     """Any cut of the text into blocks gives the ids of the whole."""
     rng = random.Random(3)
