@@ -2,7 +2,7 @@
 
 ``messages``: file, channel_id, log_time and publish_time (ns since the epoch), sequence, data.
 ``channels``: file, channel_id, topic, message_type, encoding, schema, callerid. Ids are 16 bits wide in the file
-formats, so a file has 65 536 channels at most and its dimension can always be broadcast.
+formats and count within a file, so two files use one id for different topics: ``file`` belongs to every key.
 """
 
 from __future__ import annotations
@@ -44,6 +44,20 @@ SESSION = {
 }
 
 
+def channel_keys(*frames: DataFrame) -> list[str]:
+    """What names a channel: its id within its file, or the id alone where a frame states no file."""
+    return ["file", "channel_id"] if all("file" in f.columns for f in frames) else ["channel_id"]
+
+
+#: Dimensions of at most so many rows are broadcast; a corpus of many files has more, and they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def counted(dimension: DataFrame) -> DataFrame:
+    """``dimension`` marked for broadcast if a count proves it small."""
+    return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
+
+
 def nanos(ts: Column) -> Column:
     """Nanoseconds since the epoch of a timestamp without zone, taken as UTC."""
     return F.unix_micros(ts.cast("timestamp")) * 1000
@@ -87,6 +101,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(F.broadcast(ids), "topic").drop("topic")
 
 
+def two_recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages and channels in two files that use the same ids for different topics: ``b`` counts them from the other end."""
+    one = channels(spark, sf_dir)
+    last = one.agg(F.max("channel_id").alias("last"))
+    turned = lambda df: df.join(F.broadcast(last)).withColumn("channel_id", F.when(F.col("file") == "b", F.col("last") - F.col("channel_id")).otherwise(F.col("channel_id"))).drop("last")
+    both = one.withColumn("file", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    rows = messages(spark, sf_dir).withColumn("file", F.when(F.col("message_id") % 3 == 0, "b").otherwise("a"))
+    return turned(rows), turned(both)
+
+
 #: The same tables in DuckDB SQL, as common table expressions.
 SQL = """
 chan as (
@@ -100,3 +124,8 @@ mess as (
     union all select '/conv/' || role, (conv_id * 3600 + turn) * 1000000000, conv_id * 1000 + turn, text from conversations) m
   join chan c on c.topic = m.topic)
 """
+#: ``two_recordings`` in DuckDB SQL, behind ``SQL``.
+SQL_FILES = """
+chans as (select f.file, c.* replace (case when f.file = 'b' then (select max(channel_id) from chan) - c.channel_id else c.channel_id end as channel_id) from chan c, (values ('a'), ('b')) f(file)),
+messes as (select case when message_id % 3 = 0 then 'b' else 'a' end as file, m.* replace (case when message_id % 3 = 0 then (select max(channel_id) from chan) - m.channel_id else m.channel_id end as channel_id) from mess m)
+"""

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SECONDS_LIMIT, wildcard_regex
+from ..model import channel_keys, counted
 
 #: Packages that count as standard.
 STANDARD = ("sensor_msgs", "std_msgs", "geometry_msgs", "nav_msgs", "tf2_msgs", "trajectory_msgs", "visualization_msgs", "diagnostic_msgs", "actionlib_msgs")
@@ -40,21 +42,24 @@ def glob_filter(include: list[str] = (), regexes: list[str] = (), exclude: list[
 
 
 def custom_topics(channels: DataFrame, test: Callable[[str], bool]) -> DataFrame:
-    """Channels whose topic passes a Python predicate. It runs on the dimension only."""
-    spark = channels.sparkSession
-    kept = [r.topic for r in channels.select("topic").distinct().collect() if test(r.topic)]  # 65 536 topics a file at most
-    names = spark.createDataFrame([(t,) for t in kept], "topic string")
-    return channels.join(F.broadcast(names), "topic", "left_semi")
+    """Channels whose topic passes a Python predicate. It runs on the distinct topics only, in the workers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([test(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    names = channels.select("topic").distinct().mapInArrow(run, "topic string")
+    return channels.join(names, "topic", "left_semi")
 
 
 def of_channels(messages: DataFrame, channels: DataFrame) -> DataFrame:
     """Messages of the given channels; those of unknown channels go."""
-    return messages.join(F.broadcast(channels.select("channel_id").distinct()), "channel_id", "left_semi")
+    keys = channel_keys(messages, channels)
+    return messages.join(counted(channels.select(*keys).distinct()), keys, "left_semi")
 
 
 def channel_by_topic(channels: DataFrame, topic: str) -> DataFrame:
     """The channel of a topic with the least id."""
-    return channels.where(F.col("topic") == topic).orderBy("channel_id").limit(1)
+    return channels.where(F.col("topic") == topic).orderBy(*channel_keys(channels)).limit(1)
 
 
 def contains(pattern: str, *columns: str, case: bool = False) -> Column:

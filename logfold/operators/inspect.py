@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..model import channel_keys
 
 
 def topic_stats(messages: DataFrame, channels: DataFrame) -> DataFrame:
-    """Per channel: messages, first and last time, duration, share of all messages in percent, rate in Hz.
+    """Per channel (of a file, where files are stated): messages, first and last time, duration, share of all messages in percent, rate in Hz.
 
-    The messages are aggregated by channel id before the dimension is joined.
+    The messages are aggregated by channel before the dimension is joined.
     """
-    per = messages.groupBy("channel_id").agg(F.count("*").alias("n_messages"), F.min("log_time").alias("first_time"), F.max("log_time").alias("last_time"))
-    per = per.join(F.broadcast(channels.select("channel_id", "topic", "message_type")), "channel_id")
+    keys = channel_keys(messages, channels)
+    per = messages.groupBy(*keys).agg(F.count("*").alias("n_messages"), F.min("log_time").alias("first_time"), F.max("log_time").alias("last_time"))
+    per = per.join(channels.select(*keys, "topic", "message_type"), keys)
     duration = F.greatest(F.col("last_time") - F.col("first_time"), F.lit(0))
     total = F.sum("n_messages").over(Window.partitionBy())
     return per.select(
+        *keys[:-1],
         "topic",
         "message_type",
         "n_messages",
@@ -39,17 +42,19 @@ def file_info(messages: DataFrame, channels: DataFrame) -> DataFrame:
 
 def by_encoding(messages: DataFrame, channels: DataFrame) -> DataFrame:
     """Per encoding: channels, messages and their share in percent. Channels without messages count."""
-    per = messages.groupBy("channel_id").agg(F.count("*").alias("n"))
+    keys = channel_keys(messages, channels)
+    per = messages.groupBy(*keys).agg(F.count("*").alias("n"))
     total = F.sum("n_messages").over(Window.partitionBy())
-    out = channels.join(per, "channel_id", "left").groupBy("encoding").agg(F.count("*").alias("n_channels"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_messages"))
+    out = channels.join(per, keys, "left").groupBy("encoding").agg(F.count("*").alias("n_channels"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_messages"))
     share = F.when(total == 0, F.lit(0.0)).otherwise(F.round(F.col("n_messages") * 100.0 / total, 1).cast("double"))
     return out.select("encoding", "n_channels", "n_messages", share.alias("share"))
 
 
 def by_type(messages: DataFrame, channels: DataFrame) -> DataFrame:
     """Per message type: messages and distinct topics."""
-    per = messages.groupBy("channel_id").agg(F.count("*").alias("n"))
-    return channels.join(per, "channel_id", "left").groupBy("message_type").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_messages"), F.countDistinct("topic").alias("n_topics"))
+    keys = channel_keys(messages, channels)
+    per = messages.groupBy(*keys).agg(F.count("*").alias("n"))
+    return channels.join(per, keys, "left").groupBy("message_type").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_messages"), F.countDistinct("topic").alias("n_topics"))
 
 
 def topics_of_type(channels: DataFrame) -> DataFrame:
@@ -64,8 +69,9 @@ def topics_by_encoding(channels: DataFrame) -> DataFrame:
 
 def rollup(messages: DataFrame, channels: DataFrame) -> DataFrame:
     """Messages by encoding and type, with subtotals (nulls) on both levels."""
-    per = messages.groupBy("channel_id").agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(channels), "channel_id").rollup("encoding", "message_type").agg(F.sum("n").alias("n_messages"), F.grouping_id().cast("bigint").alias("level"))
+    keys = channel_keys(messages, channels)
+    per = messages.groupBy(*keys).agg(F.count("*").alias("n"))
+    return per.join(channels, keys).rollup("encoding", "message_type").agg(F.sum("n").alias("n_messages"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def read_stats(messages: DataFrame, chunk: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidRuleError, NotFoundError, TopicCollisionError, TypeCollisionError
 from ..functions.text import wildcard_regex
+from ..model import channel_keys
 
 #: Characters that end a type reference in a schema text.
 _EDGE = r"\s<>,\[\]{}();"
@@ -174,10 +175,8 @@ def by_rule_table(channels: DataFrame, rules: DataFrame) -> DataFrame:
 
     The theta join runs between two dimensions; the smaller, the rules, is broadcast.
     """
-    from pyspark.sql import Window
-
     both = channels.join(F.broadcast(rules), F.expr("topic rlike pattern"), "left")
-    best = both.withColumn("__n", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.col("priority").asc_nulls_last()))).where("__n = 1")
+    best = both.withColumn("__n", F.row_number().over(Window.partitionBy(*channel_keys(channels)).orderBy(F.col("priority").asc_nulls_last()))).where("__n = 1")
     return best.withColumn("topic", F.coalesce(F.expr("regexp_replace(topic, pattern, target)"), "topic")).select(*channels.columns)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..codecs import cdr
 from ..errors import LogfoldError
+from ..model import counted
 from ..plans import schema as S
 from .rename import Rules
 
@@ -40,8 +41,9 @@ def renamed(messages: DataFrame, channels: DataFrame, rules: Rules, validate: bo
     if validate:
         rules.validate(channels)
     keys = [c for c in ("file", "channel_id") if c in messages.columns and c in channels.columns]
-    new = rules.apply(channels).select(*keys, "topic", "message_type", "encoding", "schema", "schema_encoding", "callerid")
-    return messages.drop("topic", "message_type", "encoding").join(F.broadcast(new), keys)
+    kept = [c for c in ("topic", "message_type", "encoding", "schema", "schema_encoding", "schema_data", "callerid") if c in channels.columns]
+    new = rules.apply(channels).select(*keys, *kept)
+    return messages.drop(*kept).join(counted(new), keys)
 
 
 def reencode(messages: DataFrame, on_error: str = "fail", framing: str = "cdr") -> DataFrame:

@@ -4,9 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..model import SQL, channels, event_messages, messages, table
+from ..model import SQL, SQL_FILES, channels, event_messages, messages, table, two_recordings
+from ..operators import filters as P
 from ..operators import inspect as I
 from ..operators import order as O
+from ..operators import rename as R
 from .registry import query
 
 
@@ -209,3 +211,70 @@ def o8(spark, sf_dir):
 @query("o11_sorted", f"with {SQL} select channel_id, message_id, log_time from mess")
 def o11(spark, sf_dir):
     return messages(spark, sf_dir).select("channel_id", "message_id", "log_time").orderBy("log_time", "channel_id", "message_id")
+
+
+# The same reports over two files that use one id for different topics.
+
+_KEYS = "file, channel_id"
+
+
+@query(
+    "a1_topic_stats_files",
+    f"""with {SQL}, {SQL_FILES},
+    per as (select {_KEYS}, count(*) as n, min(log_time) as a, max(log_time) as b from messes group by all)
+    select file, topic, message_type, n::bigint as n_messages, a::bigint as first_time, b::bigint as last_time, greatest(b - a, 0)::bigint as duration,
+      round(n * 100.0 / sum(n) over (), 1)::double as share, round(case when b <= a then 0.0 else n / ((b - a) / 1e9) end, 6)::double as hz
+    from per join chans using ({_KEYS})""",
+)
+def a1_files(spark, sf_dir):
+    return I.topic_stats(*two_recordings(spark, sf_dir))
+
+
+@query(
+    "a6_by_encoding_files",
+    f"""with {SQL}, {SQL_FILES}, n as (select {_KEYS}, count(*) as n from messes group by all)
+    select encoding, count(*)::bigint as n_channels, coalesce(sum(n), 0)::bigint as n_messages, round(coalesce(sum(n), 0) * 100.0 / sum(sum(n)) over (), 1)::double as share
+    from chans left join n using ({_KEYS}) group by encoding""",
+)
+def a6_files(spark, sf_dir):
+    return I.by_encoding(*two_recordings(spark, sf_dir))
+
+
+@query(
+    "a7_by_type_files",
+    f"""with {SQL}, {SQL_FILES}, n as (select {_KEYS}, count(*) as n from messes group by all)
+    select message_type, coalesce(sum(n), 0)::bigint as n_messages, count(distinct topic)::bigint as n_topics from chans left join n using ({_KEYS}) group by message_type""",
+)
+def a7_files(spark, sf_dir):
+    return I.by_type(*two_recordings(spark, sf_dir))
+
+
+@query("a18_rollup_files", f"with {SQL}, {SQL_FILES} select encoding, message_type, count(*)::bigint as n_messages, grouping_id(encoding, message_type)::bigint as level from messes join chans using ({_KEYS}) group by rollup(encoding, message_type)")
+def a18_files(spark, sf_dir):
+    return I.rollup(*two_recordings(spark, sf_dir))
+
+
+@query("f4_channel_filter_files", f"with {SQL}, {SQL_FILES} select file, message_id from messes join chans using ({_KEYS}) where topic like '/conv/%'")
+def f4_files(spark, sf_dir):
+    rows, dims = two_recordings(spark, sf_dir)
+    return P.of_channels(rows, dims.where(F.col("topic").startswith("/conv/"))).select("file", "message_id")
+
+
+@query("j1_message_channel_files", f"with {SQL}, {SQL_FILES} select message_id, topic, message_type from messes join chans using ({_KEYS})")
+def j1_files(spark, sf_dir):
+    return R.Rules().apply(two_recordings(spark, sf_dir)[1]).join(two_recordings(spark, sf_dir)[0], ["file", "channel_id"]).select("message_id", "topic", "message_type")
+
+
+@query("w1_sequence_files", f"with {SQL}, {SQL_FILES} select {_KEYS}, message_id, row_number() over (partition by {_KEYS} order by log_time, message_id) - 1 as sequence from messes")
+def w1_files(spark, sf_dir):
+    return O.with_sequence(two_recordings(spark, sf_dir)[0], "message_id").select("file", "channel_id", "message_id", "sequence")
+
+
+@query("w2_first_per_topic_files", f"with {SQL}, {SQL_FILES} select {_KEYS}, message_id from messes qualify row_number() over (partition by {_KEYS} order by log_time, message_id) <= 3")
+def w2_files(spark, sf_dir):
+    return O.first_per_channel(two_recordings(spark, sf_dir)[0], 3, "message_id").select("file", "channel_id", "message_id")
+
+
+@query("w7_gaps_files", f"with {SQL}, {SQL_FILES} select {_KEYS}, message_id, log_time - lag(log_time) over (partition by {_KEYS} order by log_time, message_id) as gap from messes")
+def w7_files(spark, sf_dir):
+    return O.with_gap(two_recordings(spark, sf_dir)[0], "message_id").select("file", "channel_id", "message_id", "gap")

@@ -114,9 +114,9 @@ def d5(spark, sf_dir):
     return proto.decode(_payloads(spark, sf_dir).select("data"), "data", descriptors(), "demo.msg.Event").select("message.event_id", "message.value", "message.event_type", "message.user_id", F.col("message.tags")[0]["name"].alias("tag"))
 
 
-@query("d4_protobuf_wire", "select event_id, event_type, (case when user_id >= 0 then 2 * user_id else -2 * user_id - 1 end)::bigint as zigzag from events where event_id <> 0 and user_id <> 0")
+@query("d4_protobuf_wire", "select nullif(event_id, 0) as event_id, event_type, nullif((case when user_id >= 0 then 2 * user_id else -2 * user_id - 1 end)::bigint, 0) as zigzag from events")
 def d4(spark, sf_dir):
-    data = _payloads(spark, sf_dir).where("event_id <> 0 and user_id <> 0").select("data")
+    data = _payloads(spark, sf_dir).select("data")  # fields that are 0 are not on the wire
     read = proto.wire_json(data, "data").select(F.parse_json("message").alias("v"))
     return read.select(F.variant_get("v", "$['1']", "bigint").alias("event_id"), F.variant_get("v", "$['3']", "string").alias("event_type"), F.variant_get("v", "$['4']", "bigint").alias("zigzag"))
 

@@ -127,12 +127,12 @@ def j10(spark, sf_dir):
 
 @query(
     "j11_line_diff",
-    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where doc_id < 200),
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
     a as (select * from l where doc_id % 2 = 0), b as (select doc_id - 1 as doc_id, line, pos from l where doc_id % 2 = 1)
     select doc_id, pos, a.line as old, b.line as new from a full join b using (doc_id, pos) where a.line is distinct from b.line""",
 )
 def j11(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     old = lines.where("doc_id % 2 = 0").select("doc_id", "pos", F.col("line").alias("old"))
     new = lines.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), "pos", F.col("line").alias("new"))
     return old.join(new, ["doc_id", "pos"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "old", "new")
