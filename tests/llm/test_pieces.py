@@ -75,7 +75,7 @@ def test_remembered_stretches_change_nothing(codec, model, monkeypatch):
     rng = random.Random(4)
     texts = [" " * rng.randint(0, 3) + " ".join("".join(rng.choice("abcthein▁.é") for _ in range(rng.randint(0, 50))) for _ in range(80)) + " " * rng.randint(0, 3) for _ in range(60)]
     want = [model.encode(t) for t in texts]
-    for bound in (P.REMEMBERED, 8, 0):
+    for bound in (P.REMEMBERED, 4000):
         monkeypatch.setattr(P, "REMEMBERED", bound)
         assert [codec.encode(t).tolist() for t in texts] == want
     monkeypatch.setattr(P, "REMEMBERED_LENGTH", 0)  # every stretch through the search
