@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .codecs import cdr, jsons
+from .codecs import cdr, jsons, proto
 from .errors import TypeNotFoundError, UnknownCodecError
 from .functions.text import detect_encoding
 from .operators import rewrite as W
@@ -40,8 +40,8 @@ class Reader:
         return self.files.agg(F.coalesce(F.sum("message_count"), F.lit(0))).first()[0]
 
     def decode(self, topic: str, framing: str = "cdr", on_error: str = "fail") -> DataFrame:
-        """The messages of one topic with their payload as a typed struct (CDR) or a variant (JSON)."""
-        found = self.channels.where(F.col("topic") == topic).select("message_type", "schema", "schema_encoding", detect_encoding(F.col("encoding"), F.col("schema_encoding")).alias("codec")).distinct().collect()
+        """The messages of one topic with their payload as a typed struct (CDR, protobuf) or a variant (JSON)."""
+        found = self.channels.where(F.col("topic") == topic).select("message_type", "schema", "schema_encoding", "schema_data", detect_encoding(F.col("encoding"), F.col("schema_encoding")).alias("codec")).distinct().collect()
         if not found:
             raise TypeNotFoundError(f"no topic {topic!r}")
         if len(found) > 1:
@@ -51,7 +51,9 @@ class Reader:
             return rows.withColumn("message", jsons.decode(F.col("data"), strict=on_error == "fail"))
         if of.codec == "cdr":
             return cdr.decode(rows, "data", S.parse(of.message_type, of.schema or "", of.schema_encoding), framing, on_error)
-        raise UnknownCodecError(f"use codecs.proto for {of.codec!r} payloads")
+        if of.codec == "protobuf":
+            return proto.decode(rows, "data", bytes(of.schema_data or b""), of.message_type)
+        raise UnknownCodecError(f"no codec for {of.codec!r} payloads")
 
 
 class Writer:

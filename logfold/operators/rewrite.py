@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codecs import cdr
+from ..codecs import cdr, proto
 from ..errors import LogfoldError
 from ..model import counted
 from ..plans import schema as S
@@ -42,10 +42,29 @@ def renamed(messages: DataFrame, channels: DataFrame, rules: Rules, validate: bo
         rules.validate(channels)
     keys = [c for c in ("file", "channel_id") if c in messages.columns and c in channels.columns]
     kept = [c for c in ("topic", "message_type", "encoding", "schema", "schema_encoding", "schema_data", "callerid") if c in channels.columns]
+    before = channels.select(*keys, F.col("message_type").alias("old_type"))
     new = rules.apply(channels).select(*keys, *kept)
+    if "schema_data" in kept:
+        # Schemas of text travel as text, which the rules rewrite; the bytes of others are kept, descriptors with their types renamed.
+        new = new.withColumn("schema_data", F.when(F.col("schema").isNull(), F.col("schema_data")))
+        new = _descriptors_renamed(new.join(before, keys)).drop("old_type")
     return messages.drop(*kept).join(counted(new), keys)
 
 
+def _descriptors_renamed(channels: DataFrame) -> DataFrame:
+    """``channels`` (with ``old_type``) whose protobuf descriptors call their message type by its new name."""
+    names = channels.columns
+    at = {c: names.index(c) for c in ("schema_encoding", "schema_data", "old_type", "message_type")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(at[c]).to_pylist() for c in at), strict=True)
+            moved = [proto.rename(data, old, new) if kind == "protobuf" and data and old != new else data for kind, data, old, new in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(moved, c.type) if k == at["schema_data"] else c for k, c in enumerate(batch.columns)], names=names)
+
+    return channels.mapInArrow(run, channels.schema)
+
+
 def reencode(messages: DataFrame, on_error: str = "fail", framing: str = "cdr") -> DataFrame:
     """CDR payloads decoded and encoded anew under their channel's schema; other encodings pass.
 
@@ -90,7 +109,9 @@ def reencode(messages: DataFrame, on_error: str = "fail", framing: str = "cdr")
 def rewrite(spark: SparkSession, source: str, target: str, rules: Rules | None = None, format: str | None = None, validate: bool = True, on_error: str = "fail", keep_other: bool = True, recode: bool = True, **options) -> dict[str, int]:
     """Containers read, renamed, checked by recoding, and written. The format is the target's, not the source's.
 
-    Returns counts: messages, cdr (recoded), passed (other encodings), dropped, topics_renamed, types_renamed.
+    Schemas, payloads of other encodings, caller ids and attachments come through as they are; a bag holds no attachments.
+
+    Returns counts: messages, cdr (recoded), passed (other encodings), dropped, topics_renamed, types_renamed, attachments.
     """
     rules = rules or Rules()
     messages, channels = read(spark, source)
@@ -101,12 +122,16 @@ def rewrite(spark: SparkSession, source: str, target: str, rules: Rules | None =
         out = reencode(out, on_error)
     format = format or ("bag" if target.rstrip("/").lower().endswith(".bag") else "mcap")
     write(out, target, format, **options)
+    attached = spark.read.format("logfold_attachments").load(source)
+    n_attached = attached.count() if format == "mcap" else 0
+    if n_attached:
+        attached.drop("file").write.format("logfold").mode("append").options(format="mcap", table="attachments").save(target)
     before = channels.agg(F.sum("message_count")).first()[0] or 0
     after = spark.read.format("logfold_channels").load(target).groupBy("encoding").agg(F.sum("message_count").alias("n")).collect()
     counts = {r.encoding: r.n for r in after}
     moved = channels.select((rules.topic(F.col("topic")) != F.col("topic")).alias("t"), (rules.type(F.col("message_type"), F.col("topic")) != F.col("message_type")).alias("k")).agg(F.count_if("t").alias("t"), F.count_if("k").alias("k")).first()
     done = sum(counts.values())
-    return {"messages": done, "cdr": counts.get("cdr", 0), "passed": done - counts.get("cdr", 0), "dropped": before - done, "topics_renamed": moved.t, "types_renamed": moved.k}
+    return {"messages": done, "cdr": counts.get("cdr", 0), "passed": done - counts.get("cdr", 0), "dropped": before - done, "topics_renamed": moved.t, "types_renamed": moved.k, "attachments": n_attached}
 
 
 def convert(spark: SparkSession, source: str, target: str, format: str, **options) -> dict[str, int]:

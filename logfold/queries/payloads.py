@@ -1,12 +1,18 @@
 """Codecs: round trips and schema-less readings of payloads made of the tables."""
 
+import hashlib
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..codecs import cdr, jsons, proto
-from ..model import table
+from ..model import nanos, table
+from ..operators import rewrite as W
+from ..operators.rename import Rules
 from ..plans import schema as S
+from ..sources import datasource
+from ..storage import local, scratch
 from .registry import query
 
 EVENT = S.parse("demo_msgs/msg/Event", "int64 event_id\nfloat64 value\nstring event_type\nint64 user_id")
@@ -161,3 +167,42 @@ def d16(spark, sf_dir):
 def d17(spark, sf_dir):
     v = jsons.decode(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", jsons.type_name(v, "$.k").alias("kind"), F.octet_length("props").cast("bigint").alias("hint"))
+
+
+def _lossless(spark, sf_dir) -> str:
+    """Events as protobuf and as JSON, with the pages' urls as attachments, rewritten into another container under a renamed type."""
+    datasource.register(spark)
+    source, target = local(scratch(spark, "mixed")), local(scratch(spark, "converted"))
+    time = nanos(F.col("ts"))
+    rows = _payloads(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    binary = rows.select(F.lit("/proto").alias("topic"), F.lit("demo.msg.Event").alias("message_type"), F.lit("protobuf").alias("encoding"), F.lit(None).cast("string").alias("schema"), F.lit("protobuf").alias("schema_encoding"), F.lit(descriptors()).alias("schema_data"), time.alias("log_time"), "data")
+    plain = table(spark, sf_dir, "events").select(F.lit("/json").alias("topic"), F.lit("demo.Props").alias("message_type"), F.lit("json").alias("encoding"), F.lit('{"type": "object"}').alias("schema"), F.lit("jsonschema").alias("schema_encoding"), F.lit(None).cast("binary").alias("schema_data"), time.alias("log_time"), F.col("props").cast("binary").alias("data"))
+    both = binary.unionByName(plain).withColumns({"channel_id": F.lit(None).cast("int"), "sequence": F.lit(None).cast("long")})
+    W.write(both, source, "mcap")
+    attached = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), F.lit("text/html").alias("media_type"), F.col("page_id").alias("log_time"), F.col("html").cast("binary").alias("data"))
+    attached.write.format("logfold").mode("append").options(format="mcap", table="attachments").save(source)
+    W.rewrite(spark, source, target, Rules().with_type_rename("demo.msg.Event", "demo.msg.Happening"), validate=False, recode=False)
+    return target
+
+
+@query(
+    "t20_convert_lossless",
+    f"""select '/json' as topic, 'demo.Props' as message_type, md5('{{"type": "object"}}') as schema_md5, count(*)::bigint as n, bit_xor(hash_of)::bigint as payloads from (select ('0x' || substr(md5(props), 1, 15))::bigint as hash_of from events)
+    union all select '/proto', 'demo.msg.Happening', '{hashlib.md5(proto.rename(descriptors(), "demo.msg.Event", "demo.msg.Happening")).hexdigest()}', count(*)::bigint, null from events
+    union all select 'attachments', 'text/html', null, count(*)::bigint, bit_xor(hash_of)::bigint from (select ('0x' || substr(md5(html || page_id || url), 1, 15))::bigint as hash_of from pages)""",
+)
+def t20_lossless(spark, sf_dir):
+    target = _lossless(spark, sf_dir)
+    hashed = lambda c: F.bit_xor(F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint"))
+    rows = spark.read.format("logfold").load(target).groupBy("topic").agg(F.count("*").alias("n"), hashed(F.when(F.col("topic") == "/json", F.col("data"))).alias("payloads"))
+    dims = spark.read.format("logfold_channels").load(target).select("topic", "message_type", F.md5("schema_data").alias("schema_md5")).distinct()
+    attached = spark.read.format("logfold_attachments").load(target)
+    own = hashed(F.concat(F.col("data"), F.col("log_time").cast("string").cast("binary"), F.col("name").cast("binary")))
+    more = attached.groupBy(F.lit("attachments").alias("topic"), F.col("media_type").alias("message_type"), F.lit(None).cast("string").alias("schema_md5")).agg(F.count("*").alias("n"), own.alias("payloads"))
+    return rows.join(dims, "topic").select("topic", "message_type", "schema_md5", "n", "payloads").unionByName(more)
+
+
+@query("d1_protobuf_dispatch", "select event_id, event_type from events")
+def d1_protobuf(spark, sf_dir):
+    """Payloads under a renamed descriptor, decoded by the reader's own choice of codec."""
+    return api.Reader(spark, _lossless(spark, sf_dir)).decode("/proto").select("message.event_id", "message.event_type")

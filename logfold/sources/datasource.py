@@ -9,7 +9,8 @@ Paths go through pyarrow's file systems, so stores other than the local one work
 Streams: ``readStream`` takes the containers that arrive in a folder, each once.
 
 Writing: one container per partition, under a temporary name until the job commits. Columns as read; channel columns
-(topic, message_type, encoding, schema, schema_encoding, callerid) stand beside each message.
+(topic, message_type, encoding, schema or schema_data, schema_encoding, callerid) stand beside each message. With
+``table=attachments`` the rows are attachments (name, media_type, log_time, data).
 """
 
 from __future__ import annotations
@@ -263,7 +264,10 @@ class MessageWriter(DataSourceWriter):
         if self.format not in ("mcap", "bag"):
             raise UnsupportedError(f"format {self.format!r}")
         self.names, self.overwrite, self.job = schema.names, overwrite, uuid.uuid4().hex[:12]
-        for need in ("topic", "log_time", "data"):
+        self.attachments = options.get("table", "messages") == "attachments"
+        if self.attachments and self.format != "mcap":
+            raise UnsupportedError("attachments in a bag")
+        for need in ("name", "media_type", "log_time", "data") if self.attachments else ("topic", "log_time", "data"):
             if need not in self.names:
                 raise UnsupportedError(f"no column {need!r} to write")
 
@@ -278,22 +282,32 @@ class MessageWriter(DataSourceWriter):
             os.makedirs(self.path, exist_ok=True)
         n, out, f = 0, None, None
         ids: dict[tuple, int] = {}
+        used: set[int] = set()
+        free = iter(range(1 << 16))
         try:
             for row in rows:
                 r = row.asDict()
                 if out is None:
                     f = open(inner, "wb")  # a bag's header is written again at the end
                     out = mcap.Writer(f, self.chunk, self.compression, self.level) if self.format == "mcap" else bag.Writer(f, self.chunk, self.compression)
-                key = (r["topic"], r.get("message_type") or "", r.get("encoding") or "", r.get("schema") or "", r.get("schema_encoding") or "", r.get("callerid"))
+                n += 1
+                if self.attachments:
+                    out.add_attachment(r["name"] or "", r["media_type"] or "", r["log_time"] or 0, bytes(r["data"] or b""))
+                    continue
+                schema = r.get("schema_data") or (r.get("schema") or "").encode()
+                key = (r["topic"], r.get("message_type") or "", r.get("encoding") or "", bytes(schema), r.get("schema_encoding") or "", r.get("callerid"))
                 if key not in ids:
                     # Ids as read stay where they are free; others take the next free one.
                     wish = r.get("channel_id")
-                    ids[key] = wish if wish is not None and wish not in ids.values() else next(i for i in range(1 << 16) if i not in ids.values())
-                    schema = r.get("schema_data") or (r.get("schema") or "").encode()
+                    if wish is None or wish in used:
+                        wish = next((i for i in free if i not in used), None)
+                        if wish is None:
+                            raise UnsupportedError("more than 65536 channels in a file")
+                    ids[key] = wish
+                    used.add(wish)
                     out.add_channel(mcap.Channel(ids[key], key[0], key[1], key[2], bytes(schema), key[4], metadata={"callerid": key[5]} if key[5] is not None else {}))
                 publish = r.get("publish_time")
                 out.write(ids[key], r["log_time"], r["log_time"] if publish is None else publish, bytes(r["data"] or b""), r.get("sequence"))
-                n += 1
             if out is not None:
                 out.finish(self.summary)
         finally:
