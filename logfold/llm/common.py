@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 import weakref
@@ -67,6 +68,12 @@ def drop(*tables: DataFrame | None) -> None:
             _remove(t.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffles of plans that nothing refers to any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, arrow_rows, cut, drop, row_key, schema_with, without
+from .common import BROADCAST_ROWS, LOWER, UPPER, arrow_rows, cut, drop, release, row_key, schema_with, without
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: LOW[n] has the n lowest bits set.
@@ -304,8 +304,8 @@ def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """``doc_id, row, node, at, set, size, bits``, one row per input row. node: hash of the shingle set; at, set, size, bits: a
-    number of the row, the set's hashes as bytes, how many they are, and which of 2048 values their highest bits take, all null
+    """``doc_id, row, node, at, set, size, bits, fold``, one row per input row. node: hash of the shingle set; at, set, size, bits: a
+    number of the row, the set's hashes as bytes, how many they are, and which of 2048 (fold: 512) values their highest bits take, all null
     where an earlier row of the same task has the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +327,13 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets.append(own if new else None)
                 sizes.append(len(hashes) if new else None)
                 bits.append(_taken(hashes) if new else None)
-            columns = [pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "node", "at", "set", "size", "bits"])
+            folds = iter(_folded([b for b in bits if b is not None]))
+            fold = [None if b is None else next(folds) for b in bits]
+            columns = [pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fold, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "node", "at", "set", "size", "bits", "fold"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary, size int, bits binary"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary, size int, bits binary, fold binary"))
 
 
 def _taken(hashes: np.ndarray) -> bytes:
@@ -341,6 +343,19 @@ def _taken(hashes: np.ndarray) -> bytes:
     return np.packbits(taken).tobytes()
 
 
+def _folded(bits: list[bytes]) -> list[bytes]:
+    """The same for 512 values: one for each four."""
+    whole = np.frombuffer(b"".join(bits), np.uint8).reshape(-1, 256)
+    return [x.tobytes() for x in np.packbits(np.stack([whole & 0xF0, whole & 0x0F], axis=2).reshape(-1, 512) != 0, axis=1)]
+
+
+def _open(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of sizes a and b that take the values x and y can be this similar. A value that one of them takes alone
+    stands for a hash that it has alone, so no pair of this similarity is closed."""
+    both = np.minimum(a - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), b - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return both * (1 + similarity) >= (a + b) * similarity - 1e-6
+
+
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all sets of a column one after another, and the sets' sizes."""
     raw = column.to_pylist()
@@ -431,12 +446,13 @@ def _fits(a, b, i, j, similarity: float, least):
     return least(a - i, b - j) * (1 + similarity) >= (a + b) * similarity - 1e-6
 
 
-def _cross_pairs(rows: DataFrame, similarity: float, bucket_limit: int, tile: int) -> DataFrame:
-    """``u, v``: all pairs of nodes with a common token and different ``rep`` that can be similar enough. Tokens of more rows
-    than the limit are dealt out as pairs of tiles."""
+def _cross_pairs(rows: DataFrame, marked: DataFrame, similarity: float, bucket_limit: int, tile: int) -> DataFrame:
+    """``u, v``: all pairs of nodes with a common token and different ``rep`` that can be similar enough by their places and
+    folded marks. Tokens of more rows than the limit are dealt out as pairs of tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, size, pos, rep in _whole_buckets(batches):
+        for bucket, node, size, pos, rep, fold in _whole_buckets(batches):
+            fold = np.frombuffer(b"".join(fold), np.uint64).reshape(-1, 8)
             ends = np.searchsorted(bucket, bucket, "right")
             widest = int((ends - np.arange(len(bucket))).max())
             step = max(1, min(max(64, widest), (1 << 20) // (widest + 64)))  # step by step and a bucket at most
@@ -446,16 +462,19 @@ def _cross_pairs(rows: DataFrame, similarity: float, bucket_limit: int, tile: in
                 ok = (j[None, :] > i[:, None]) & (j[None, :] < ends[i][:, None]) & (rep[i][:, None] != rep[j][None, :])
                 ok &= _fits(size[i][:, None].astype(np.int64), size[j][None, :].astype(np.int64), pos[i][:, None], pos[j][None, :], similarity, np.minimum)
                 x, y = np.nonzero(ok)
+                x, y = i[x], j[y]
+                still = _open(size[x].astype(np.int64), size[y].astype(np.int64), fold[x], fold[y], similarity)
+                x, y = x[still], y[still]
                 if len(x):
-                    a, b = node[i[x]], node[j[y]]
+                    a, b = node[x], node[y]
                     found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     active = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token", "n")
     tiles = F.when(F.col("n") > bucket_limit, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
-    dealt = rows.join(active, "token").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("tiles")).cast("int"))
+    dealt = rows.join(active, "token").join(marked.select("node", "fold"), "node").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("tiles")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: (x != F.col("own")) | (F.col("tiles") == 1))
-    dealt = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "size", "pos", "rep")
+    dealt = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "size", "pos", "rep", "fold")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
 
 
@@ -469,16 +488,13 @@ def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` that the marks (``node, size, bits``) leave open. A value that only one set takes stands for a hash that only it has,
-    so no pair of this similarity goes."""
+    """The pairs ``u, v`` that the marks (``node, size, bits``) leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, 32) for k in (3, 5))
             a, b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 4))
-            both = np.minimum(a - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), b - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-            keep = both * (1 + similarity) >= (a + b) * similarity - 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(_open(a, b, x, y, similarity)))
 
     one = pairs.join(marked.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("bits").alias("x")), "u")
     two = one.join(marked.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("bits").alias("y")), "v")
@@ -506,7 +522,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 2) -> DataFrame:
+def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 3) -> DataFrame:
     """``node, rep``: the connected components of all pairs of sets at this Jaccard similarity or more.
 
     ``rows`` are those of ``prefixes``, ``marked`` the sizes and bits of the sets. A few rounds compare one node of each token with the others, which brings groups
@@ -516,7 +532,7 @@ def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, simi
     edges, found = None, None
     for turn in range(rounds + 1):
         own = rows.withColumn("rep", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
-        met = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, similarity, bucket_limit, tile), "pairs")
+        met = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, marked, similarity, bucket_limit, tile), "pairs")
         pairs = cut(possible(met, marked, similarity), "possible")
         drop(met)
         if found is not None and pairs.isEmpty():
@@ -541,7 +557,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
         sets = whole.where("at is not null")
         rows = cut(prefixes(sets, similarity), "prefixes")
-        marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "marks")
+        release(docs.sparkSession)
+        marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fold").alias("fold")), "marks")
         reached = similar_components(rows, marks, sets.select("node", "set"), similarity, **options)
         named = cut(reached.join(distinct, "node"), "reached")
         drop(rows, marks, whole)
