@@ -64,3 +64,20 @@ def test_glob(spark):
     topics = spark.createDataFrame([(t,) for t in ("/a/b", "/a.b", "/x", "/ab")], "topic string")
     keep = lambda *a: {r.topic for r in topics.where(P.glob_filter(*a)).collect()}
     assert keep(["/a?b"]) == {"/a/b", "/a.b"} and keep(["/a*"], [], ["/ab"]) == {"/a/b", "/a.b"} and keep([], ["/[xa].*"]) == {"/a/b", "/a.b", "/x", "/ab"} and len(keep()) == 4
+
+
+def test_human_duration_beyond_a_long(spark, tmp_path):
+    from logfold.queries import QUERIES
+
+    ids = [0, 1, 500, 864_522, 864_523, 1_298_000, 5_999_999]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = dict(QUERIES["x10_human_duration"](spark, str(tmp_path)).collect())
+    assert got == {
+        0: "N/A",
+        1: "12.34 ms",
+        500: "51.42 minutes (3085s)",
+        864_522: "2562045.00 hours (9223362004s)",
+        864_523: "2562050.93 hours (9223383341s)",
+        1_298_000: "5775426.21 hours (20791534363s)",
+        5_999_999: "123406208.86 hours (444262351913s)",
+    }
