@@ -112,6 +112,7 @@ def rewrite(spark: SparkSession, source: str, target: str, rules: Rules | None =
     Schemas, payloads of other encodings, caller ids and attachments come through as they are; a bag holds no attachments.
 
     Returns counts: messages, cdr (recoded), passed (other encodings), dropped, topics_renamed, types_renamed, attachments.
+    Those of topics and types count the channels of every file; distinct_topics_renamed counts a topic of several files once.
     """
     rules = rules or Rules()
     messages, channels = read(spark, source)
@@ -129,9 +130,10 @@ def rewrite(spark: SparkSession, source: str, target: str, rules: Rules | None =
     before = channels.agg(F.sum("message_count")).first()[0] or 0
     after = spark.read.format("logfold_channels").load(target).groupBy("encoding").agg(F.sum("message_count").alias("n")).collect()
     counts = {r.encoding: r.n for r in after}
-    moved = channels.select((rules.topic(F.col("topic")) != F.col("topic")).alias("t"), (rules.type(F.col("message_type"), F.col("topic")) != F.col("message_type")).alias("k")).agg(F.count_if("t").alias("t"), F.count_if("k").alias("k")).first()
+    moved = channels.select("topic", (rules.topic(F.col("topic")) != F.col("topic")).alias("t"), (rules.type(F.col("message_type"), F.col("topic")) != F.col("message_type")).alias("k"))
+    moved = moved.agg(F.count_if("t").alias("t"), F.count_if("k").alias("k"), F.countDistinct(F.when(F.col("t"), F.col("topic"))).alias("d")).first()
     done = sum(counts.values())
-    return {"messages": done, "cdr": counts.get("cdr", 0), "passed": done - counts.get("cdr", 0), "dropped": before - done, "topics_renamed": moved.t, "types_renamed": moved.k, "attachments": n_attached}
+    return {"messages": done, "cdr": counts.get("cdr", 0), "passed": done - counts.get("cdr", 0), "dropped": before - done, "topics_renamed": moved.t, "distinct_topics_renamed": moved.d, "types_renamed": moved.k, "attachments": n_attached}
 
 
 def convert(spark: SparkSession, source: str, target: str, format: str, **options) -> dict[str, int]:

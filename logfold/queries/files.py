@@ -144,7 +144,7 @@ def t18(spark, sf_dir):
 @query("t19_options", f"with {SQL} select count(*) filter (encoding = 'cdr')::bigint as messages, count(*) filter (encoding <> 'cdr')::bigint as dropped, 3::bigint as topics_renamed from mess join chan using (channel_id)")
 def t19(spark, sf_dir):
     stats = W.rewrite(spark, recording(spark, sf_dir), local(scratch(spark, "cdr")), _RULES, keep_other=False)
-    return spark.createDataFrame([(stats["messages"], stats["dropped"], stats["topics_renamed"])], "messages long, dropped long, topics_renamed long")
+    return spark.createDataFrame([(stats["messages"], stats["dropped"], stats["distinct_topics_renamed"])], "messages long, dropped long, topics_renamed long")
 
 
 @query("t20_convert", f"with {SQL} {_TOPICS} group by 1")

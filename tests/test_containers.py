@@ -130,6 +130,21 @@ def test_rewrite_convert_and_counts(spark, recorded, tmp_path):
     assert sum(i.message_count for i in info) == 600 and {i.format for i in info} == {"bag"}
 
 
+def test_renamed_topics_of_many_files_count_once(spark, sf_dir):
+    from logfold.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # turns in several files, as in a larger recording
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        row = QUERIES["t19_options"](spark, sf_dir).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("conversations", "events")}
+    assert row.asDict() == {"messages": n["conversations"], "dropped": n["events"], "topics_renamed": 3}
+
+
 def test_rules_are_checked(spark, recorded):
     channels = spark.read.format("logfold_channels").load(recorded)
     with pytest.raises(NotFoundError):
