@@ -10,7 +10,8 @@
    The fingerprints of a bucket over ``bucket_limit`` get finer keys from the bits left open, which loses no link either.
 4. A bucket returns a star per linked set, not its pairs. Stars meet in a distributed contraction.
 
-``similar_documents`` needs no fingerprints: it joins the shingle sets themselves, by prefixes, at an exact Jaccard similarity.
+``similar_documents`` links at an exact Jaccard similarity. It compares the fingerprints of the shingle sets in the same way,
+checks what they link by the sets themselves, and joins the sets by prefixes for the links that lie further apart in bits.
 
 Defined results: null and empty texts (and those of white space) have fingerprint zero and are linked like any other;
 rows that share a doc_id each return a row; a null doc_id never names a component unless all its members are null.
@@ -38,17 +39,28 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 def simhash(text: bytes, words_per_shingle: int, n_words: int = 1) -> bytes:
     """The fingerprint of one UTF-8 text: ``n_words`` times 64 bits, the lowest first.
 
-    ``bytes.split`` parts at exactly the six ASCII white-space characters. Further words come from further mixes of the
-    shingles' hashes.
+    Further words come from further mixes of the shingles' hashes.
+    """
+    return _fingerprint(_hashes(text, words_per_shingle), n_words)
+
+
+def _hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """The hashes of one UTF-8 text's word shingles, repeats included.
+
+    ``bytes.split`` parts at exactly the six ASCII white-space characters.
     """
     import xxhash
 
     words = text.translate(_FOLD).split()
     if not words:
-        return bytes(8 * n_words)
+        return np.zeros(0, np.uint64)
     k = words_per_shingle
     grams = [b" ".join(words)] if len(words) <= k else list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
+
+
+def _fingerprint(hashes: np.ndarray, n_words: int = 1) -> bytes:
+    """The bits set in over half of the hashes; zero for none."""
     ones = np.zeros(64 * n_words, np.int64)
     for at in range(0, len(hashes), 4080):  # whole texts, a slice of memory
         mixed = np.stack([_mix(hashes[at : at + 4080], i) for i in range(n_words)], axis=1)
@@ -269,6 +281,17 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else left.select(F.col("u").alias("node"), F.col("v").alias("rep"))
 
 
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (node, rep) of some edges brought up to date with more of them: only those between its components are contracted."""
+    for end in ("u", "v"):
+        edges = edges.join(found.select(F.col("node").alias(end), F.col("rep").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    more = components(edges.select("u", "v"))
+    moved = found.join(more.select(F.col("node").alias("rep"), F.col("rep").alias("to")), "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
+    out = cut(moved.unionByName(more.join(found, "node", "left_anti")), "found")
+    drop(found, more)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -293,20 +316,13 @@ def near_duplicates(
 
 def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
     """The hashes of one UTF-8 text's word shingles, each once, in order."""
-    import xxhash
-
-    words = text.translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    k = words_per_shingle
-    grams = [b" ".join(words)] if len(words) <= k else list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams)))
+    return np.unique(_hashes(text, words_per_shingle))
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """``doc_id, row, node, at, set, size, bits, fold``, one row per input row. node: hash of the shingle set; at, set, size, bits: a
-    number of the row, the set's hashes as bytes, how many they are, and which of 2048 (fold: 512) values their highest bits take, all null
-    where an earlier row of the same task has the same set."""
+    """``doc_id, row, node, at, set, size, bits, fold, fp``, one row per input row. node: hash of the shingle set; at, set, size, bits: a
+    number of the row, the set's hashes as bytes, how many they are, and which of 2048 (fold: 512) values their highest bits take; fp: the
+    set's fingerprint; all null where an earlier row of the same task has the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -314,7 +330,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         at, seen = TaskContext.get().partitionId() << 36, set()
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            nodes, ats, sets, sizes, bits = [], [], [], [], []
+            nodes, ats, sets, sizes, bits, fps = [], [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 hashes = shingles(t.as_py() or b"", words_per_shingle)
                 own = hashes.tobytes()
@@ -327,13 +343,14 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets.append(own if new else None)
                 sizes.append(len(hashes) if new else None)
                 bits.append(_taken(hashes) if new else None)
+                fps.append(int.from_bytes(_fingerprint(hashes), "little", signed=True) if new else None)
             folds = iter(_folded([b for b in bits if b is not None]))
             fold = [None if b is None else next(folds) for b in bits]
-            columns = [pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fold, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "node", "at", "set", "size", "bits", "fold"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fold, pa.binary()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "node", "at", "set", "size", "bits", "fold", "fp"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary, size int, bits binary, fold binary"))
+    return picked.mapInArrow(run, schema_with(picked.select("doc_id", "row"), "node long, at long, set binary, size int, bits binary, fold binary, fp long"))
 
 
 def _taken(hashes: np.ndarray) -> bytes:
@@ -502,7 +519,7 @@ def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFram
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` whose sets (``node, set``) have this Jaccard similarity or more."""
+    """The pairs ``u, v`` whose sets (``node, set``) have this Jaccard similarity or more, as a table of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -519,47 +536,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     some = cut(sets.join(few, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "some")
     one = pairs.join(some.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
     two = one.join(some.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    found = cut(two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "confirmed")
+    drop(nodes, some)
+    return found
+
 
+def fingerprint_pairs(prints: DataFrame, radius: int = 2, blocks: int = 4, agree: int = 2, bucket_limit: int = 8192) -> DataFrame:
+    """``u, v``: pairs of nodes that connect all whose fingerprints (``node, fp``) lie within ``radius`` bits: see ``links``."""
+    own = cut(prints.select("node", "fp").distinct(), "fingerprints")
+    distinct = cut(own.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    same = own.join(distinct, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    near = links(distinct.select("fp"), radius, blocks, agree, bucket_limit)
+    for end in ("u", "v"):
+        near = near.join(distinct.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}")), end)
+    found = cut(same.union(near.select(F.least("node_u", "node_v"), F.greatest("node_u", "node_v"))).distinct(), "pairs")
+    drop(own, distinct)
+    return found
 
-def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 3) -> DataFrame:
+
+def similar_components(rows: DataFrame, marked: DataFrame, sets: DataFrame, similarity: float, edges: DataFrame, bucket_limit: int = 8192, tile: int = 1024, rounds: int = 3) -> DataFrame:
     """``node, rep``: the connected components of all pairs of sets at this Jaccard similarity or more.
 
-    ``rows`` are those of ``prefixes``, ``marked`` the sizes and bits of the sets. A few rounds compare one node of each token with the others, which brings groups
+    ``rows`` are those of ``prefixes``, ``marked`` the sizes and bits of the sets, ``edges`` the pairs ``u, v`` that are known already. A few
+    rounds compare one node of each token with the others, which brings groups
     of near copies together; then all pairs that meet and are not yet connected are compared. So no link is lost, and a
     group takes no square of pairs.
     """
-    edges, found = None, None
+    found = components(edges)
     for turn in range(rounds + 1):
-        own = rows.withColumn("rep", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
+        own = rows.join(found, "node", "left").withColumn("rep", F.coalesce("rep", "node"))
         met = cut(_star_pairs(own, similarity, turn) if turn < rounds else _cross_pairs(own, marked, similarity, bucket_limit, tile), "pairs")
         pairs = cut(possible(met, marked, similarity), "possible")
         drop(met)
-        if found is not None and pairs.isEmpty():
+        if pairs.isEmpty():
             continue
-        new = cut(confirmed(pairs, sets, similarity), "confirmed")
-        if found is not None and new.isEmpty():
+        new = confirmed(pairs, sets, similarity)
+        drop(pairs)
+        if new.isEmpty():
             continue
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
+        found = joined(found, new)
+        drop(new)
+        release(rows.sparkSession)
     return found
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
     """``doc_id, row, component_id``: components of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Exact: every such pair meets in a token of ``prefixes`` and is confirmed by its whole sets. Texts of equal sets share a
-    node. A component is named by its least id.
+    Pairs come from the bit-sliced comparison of the sets' fingerprints first; the whole sets confirm them. Sets at 0.8 mostly
+    differ in more bits than it spans, so all other pairs come from ``prefixes``: every pair of this similarity meets in a token
+    there and is confirmed likewise. Texts of equal sets share a node. A component is named by its least id.
     """
     with arrow_rows(docs.sparkSession, 1024):
         whole = cut(shingle_sets(docs, id_col, text_col, words_per_shingle), "sets")
         marked = cut(whole.select("doc_id", "row", "node"), "nodes")
         distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
         sets = whole.where("at is not null")
+        near = fingerprint_pairs(sets)
+        edges = confirmed(near, sets.select("node", "set"), similarity)
+        drop(near)
+        release(docs.sparkSession)
         rows = cut(prefixes(sets, similarity), "prefixes")
         release(docs.sparkSession)
         marks = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fold").alias("fold")), "marks")
-        reached = similar_components(rows, marks, sets.select("node", "set"), similarity, **options)
+        reached = similar_components(rows, marks, sets.select("node", "set"), similarity, edges, **options)
         named = cut(reached.join(distinct, "node"), "reached")
         drop(rows, marks, whole)
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))

@@ -197,3 +197,39 @@ def test_documents_below_the_similarity_all_stay(spark):
 def test_blocks_must_cover_the_radius(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([], "fp long"), 3, 4, 2)
+
+
+def test_similar_documents_compare_fingerprints_before_they_join_sets(spark, monkeypatch):
+    """What the fingerprints link at the similarity is linked without any pair of the prefixes; what they link below it is not."""
+    from .conftest import prose
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20):
+        base = prose(40_000 + i, 1500)
+        rows += [(2 * i, base), (2 * i + 1, edited(base, rng, 1))]
+    # 84 words have 80 shingles; 12 words of their own make two texts 80 of 104 alike.
+    rows += [(1000 + i, " ".join([*(f"w{j}" for j in range(84)), *(f"x{i}y{j}" for j in range(12))])) for i in range(200)]
+    prints = {d: S._fingerprint(S.shingles(t.encode(), 5)) for d, t in rows}
+    bits = lambda a, b: (int.from_bytes(prints[a], "little") ^ int.from_bytes(prints[b], "little")).bit_count()
+    near = [2 * i for i in range(20) if bits(2 * i, 2 * i + 1) <= 2]
+    assert len(near) >= 10 and any(bits(a, b) <= 2 for a in range(1000, 1200) for b in range(a + 1, 1200))
+    none = lambda *_: spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(S, "_star_pairs", none)
+    monkeypatch.setattr(S, "_cross_pairs", none)
+    found = groups(spark, rows)
+    assert [2 * i for i in range(20) if found[2 * i + 1] == 2 * i] == near
+    assert all(found[i] == i for i in range(1000, 1200))
+
+
+def test_set_fingerprints_against_brute_force(spark, odd, odd_rows):
+    found = {r.row: r.fp for r in S.shingle_sets(odd, words_per_shingle=3).where("at is not null").collect()}
+    texts = {r.row: r.text for r in odd.select(S.row_key(odd.doc_id, odd.text).alias("row"), "text").collect()}
+    assert found
+
+    def brute(text):
+        words = (text or "").encode().lower().split()
+        hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), seed=42) for i in range(max(1, len(words) - 2))} if words else set()
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert {k: v % (1 << 64) for k, v in found.items()} == {k: brute(texts[k]) for k in found}
