@@ -29,7 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of their five-word shingles of 0.8 or more, the least doc_id stays."""
+    """Of documents linked by a Jaccard similarity of their five-word shingles of 0.8 or more, the least doc_id stays.
+
+    SimHash fingerprints give links by the bit-sliced comparison, the shingle sets confirm them, and the sets' own join
+    finds the links that lie beyond the fingerprints' radius.
+    """
     return simhash.one_of_each(docs, words_per_shingle=5, similarity=0.8)
 
 
