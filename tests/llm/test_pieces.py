@@ -1,7 +1,11 @@
+import cProfile
+import itertools
 import os
+import pstats
 import random
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from logfold.llm import pieces as P
@@ -82,6 +86,63 @@ def test_remembered_stretches_change_nothing(codec, model, monkeypatch):
     assert [codec.encode(t).tolist() for t in texts] == want
 
 
+def test_known_stretches_take_no_steps_of_their_own(codec, model):
+    """Looking up what is remembered costs calls by the part and not by the stretch, and neighbours cost no merges."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefthein") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(50_000))
+    assert codec.encode(text).tolist() == model.encode(text)
+    profile = cProfile.Profile()
+    profile.runcall(codec.encode, text)
+    assert pstats.Stats(profile).total_calls < 5000
+
+
+def test_boundaries_by_the_merges_of_both_sides(monkeypatch):
+    """``fits`` says what merging both pieces together says, for models with equal scores too, and merges each piece once."""
+    rng = random.Random(6)
+    for _ in range(60):
+        some = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(40)}
+        codec = P.Codec([(p, -float(rng.randint(0, 12)), 1) for p in [*"abc", P.MARK, *sorted(some)]])
+        own = [i for p, i in codec.id.items() if codec.merge(p) == [p]]
+        want = {(a, b): codec.merge(codec.name[a] + codec.name[b]) == [codec.name[a], codec.name[b]] for a, b in itertools.product(own, own)}
+        calls, merge = [], codec.merge
+        monkeypatch.setattr(codec, "merge", lambda *a, calls=calls, merge=merge: (calls.append(a), merge(*a))[1])
+        assert {pair: codec.fits(*pair) for pair in want} == want and len(calls) == len(own)
+        text = "".join(rng.choice("abc ") for _ in range(200))
+        assert [codec.name[i] for i in codec.encode(text)] == merge((" " + text).replace(" ", P.MARK))
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("together", [1, 700, 1 << 20])
+def test_rows_by_parts(codec, model, monkeypatch, kind, together):
+    """Rows taken in together give what each gives alone, also from a slice, and long ones by parts."""
+    monkeypatch.setattr(P, "TOGETHER", together)
+    monkeypatch.setattr(P, "DECODED", together)
+    monkeypatch.setattr(P, "PART", 64)
+    rng = random.Random(7)
+    texts = [None, "", " ", "  ", P.MARK, "a ", " a", "a  ", "\n", "漢🙂 x", "a" * 300, " " * 300, "x" + " " * 200 + "y", "\x00 \x00"]
+    texts += ["".join(rng.choice("abcthein   ▁.é漢🙂\n") for _ in range(rng.randint(0, 200))) for _ in range(400)]
+    rng.shuffle(texts)
+    rows = pa.array(["out", *texts, None], kind).slice(1, len(texts))
+    ids = [x for part in codec.encode_rows(rows) for x in part.to_pylist()]
+    assert ids == [None if t is None else model.encode(t) for t in texts]
+    lists = pa.array([[5], *ids, None], pa.list_(pa.int32())).slice(1, len(ids))
+    assert [t for part in codec.decode_rows(lists) for t in part.to_pylist()] == [None if t is None else t.replace(P.MARK, " ") for t in texts]
+
+
+def test_texts_of_any_ids(codec):
+    """Ids that no text has: control pieces, torn and invalid bytes, space marks out of bytes."""
+    rng = random.Random(8)
+    mark = [codec.byte[b] for b in P.MARK.encode()]
+    lists = [[], [0], [1], [2], [1, 300, 400], [codec.byte[32]], [codec.byte[32], 300], [codec.byte[200]], mark, [300, *mark, 301], mark[:2], None]
+    lists += [[rng.choice([rng.randrange(300), rng.randrange(len(codec.bytes))]) for _ in range(rng.randint(0, 8))] for _ in range(300)]
+    for some in ([x] for x in lists):
+        assert next(codec.decode_rows(pa.array(some, pa.list_(pa.int32())))).to_pylist() == [None if x is None else codec.decode(x) for x in some]
+    assert [t for part in codec.decode_rows(pa.array(lists, pa.list_(pa.int32()))) for t in part.to_pylist()] == [None if x is None else codec.decode(x) for x in lists]
+    with pytest.raises(IndexError):
+        next(codec.decode_rows(pa.array([[len(codec.bytes)]], pa.list_(pa.int32()))))
+
+
 def test_blocks_do_not_matter(codec, model):
     """Any cut of the text into blocks gives the ids of the whole."""
     rng = random.Random(3)
