@@ -41,7 +41,7 @@ BLOCK = 1024
 #: longest length in characters.
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
 #: Bytes of rows, characters of a long row and ids of rows that are taken in together; a stretch without a boundary may be longer.
-TOGETHER, PART, DECODED = 1 << 20, 1 << 15, 1 << 18
+TOGETHER, PART, DECODED = 1 << 18, 1 << 15, 1 << 18
 #: A boundary at which all paths meet: a run of spaces behind another character.
 _BOUNDARY = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 #: Codes of back pointers that are no pieces: none yet, the start, and from there on characters without a piece.
